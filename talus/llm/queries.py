@@ -9,7 +9,9 @@ from talus.llm.components import connected_groups
 from talus.llm.packing import pack
 from talus.llm.tokens import count_tokens, encode_texts
 from talus.llm.topn import top_n
-from talus.tables import table
+from talus.staging import Staged
+from talus.llm.variants import name_groups, variant_pairs
+from talus.tables import name_key, table
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +28,17 @@ reach AS (SELECT k, k AS r FROM vertices UNION SELECT reach.k, arcs.b FROM reach
 SELECT k AS entity_key, min(r) AS group_key FROM reach GROUP BY k"""
 
 
+def payee_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The name keys of all payees of transactions and of tier_entities."""
+    payees = table(spark, folder, "transactions").select(name_key(F.col("payee_customer_vendor_name")).alias("key"))
+    return payees.distinct().unionByName(table(spark, folder, "tier_entities").select(F.col("entity_key").alias("key")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    groups = Staged(spark, "p4")(name_groups(payee_keys(spark, folder), "key"))
+    return variant_pairs(groups)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_n(table(spark, folder, "tx_tiered"), "agency", "transaction_id", "risk_score", "amount", 10)
 
@@ -49,5 +62,5 @@ def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack(count_tokens(table(spark, folder, "documents"), ["doc_id"], "text"), ["doc_id"], "n_tokens", CAPACITY)
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packed": p9_packed}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packed": p9_packed}
 SQL = {"p3_found": P3_SQL, "p5_found": P5_SQL}
