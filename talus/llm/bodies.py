@@ -1,0 +1,145 @@
+"""Free-entered names of public bodies brought into the form in which they are compared."""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+from talus.llm.names import distance, fold
+
+# Kinds of bodies and how they are written.
+KINDS = {
+    "DEPT": ["DEPARTMENT", "DEPT", "DPT", "DEPART"],
+    "BOARD": ["BOARD", "BRD", "BD"],
+    "COMMISSION": ["COMMISSION", "COMMN", "CMSN", "COMM"],
+    "OFFICE": ["OFFICE", "OFC", "OFF"],
+    "COLLEGE": ["COLLEGE"],
+}
+# Last words of units within an agency, which count as the agency.
+UNIT_WORDS = ["UNIT", "SECTION", "BRANCH", "PROGRAM", "PROJECTS", "COUNTER", "OPERATIONS", "WAREHOUSE", "DISTRICT", "DIVISION", "BUREAU", "TEAM", "DESK"]
+# Remarks behind a name.
+REMARKS = ["AND ITS COMPONENT UNITS", "FOLLOW UP", "PERFORMANCE AUDIT", "SEE NOTE", "CONTINUED", "DRAFT", "PROCEDURAL REVIEW", "SPECIAL REVIEW", "FINANCIAL AUDIT", "SUNSET REVIEW"]
+# Short forms that too many words could stand for.
+SHORT = {"OPS": "OPERATIONS", "OPER": "OPERATIONS", "INFO": "INFORMATION", "SYS": "SYSTEMS", "THER": "THERAPISTS", "ADMIN": "ADMINISTRATIVE", "SVCS": "SERVICES", "SERV": "SERVICES", "MGRS": "MANAGERS", "STDS": "STANDARDS", "INSP": "INSPECTORS"}
+STOP = {"OF", "THE", "ON", "FOR", "AND", "STATE", "IN", "TO"}
+_OCR = str.maketrans({"0": "O", "1": "I", "5": "S"})
+
+
+def _near(token: str, word: str, most: int) -> bool:
+    return distance(token, word, most) <= most
+
+
+@lru_cache(maxsize=1 << 16)
+def kind_of(token: str) -> str | None:
+    """The kind that a word states, also with typing errors in the longer forms."""
+    for kind, forms in KINDS.items():
+        for form in forms:
+            most = 3 if len(form) >= 10 else 2 if len(form) >= 6 else 1 if len(form) >= 4 else 0
+            if token == form or most and abs(len(token) - len(form)) <= most and len(token) >= 4 and token[-1] + token[0] not in ("SC",) and _near(token, form, most):
+                return kind
+    return None
+
+
+def _words(text: str) -> list[str]:
+    return re.findall(r"[A-Z0-9]+", text)
+
+
+def _drop_remark(text: str) -> str:
+    """The text without a remark at its end, misspelt remarks too."""
+    flat = re.sub(r"[^A-Z]+", " ", text).strip()
+    for remark in REMARKS:
+        n = len(remark)
+        if len(flat) < n or 4 * len(set(flat[-n - 1 :]) & set(remark)) < 3 * len(set(remark)):
+            continue
+        for k in range(n - 2, n + 3):
+            if len(flat) > k + 3 and distance(flat[-k:], remark, 3) <= (3 if n > 12 else 2 if n > 7 else 1) and flat[-k - 1] == " ":
+                cut = len(text)
+                seen = 0
+                while seen < len(flat[-k:].replace(" ", "")) and cut:
+                    cut -= 1
+                    seen += text[cut].isalpha()
+                return text[:cut].rstrip(" -,:;/([")
+    return text
+
+
+def normalise(value: str, home: str = "CORVANE") -> dict:
+    """acronym (the whole value is a short name), words (without kind, home state, unit and remark), kinds, hint (a short name in brackets)."""
+    text = fold(value.replace(" ", " ").replace("_", " "))
+    text = re.sub(r"\s+", " ", text).strip()
+    text = re.sub(r"(?<=\w)['’](?=\w)", "", text)
+    text = re.sub(r"\s*\*+\s*", " ", text).strip()
+    text = re.sub(r"\b(?:[A-Z]\.){2,}", lambda m: m[0].replace(".", ""), text)
+    hint = ""
+    for _ in range(4):
+        before = text
+        text = _drop_remark(text).strip(" -,:;/")
+        text = re.sub(r"\s*\bF\w?Y\w?\s?\d[\dA-Z]{1,5}\s*$", "", text)
+        tail = re.search(r"\s*[(\[]([^)\]]*)[)\]]?\s*$", text)
+        if tail and tail.start() > 0:
+            inside = _words(tail[1])
+            if not any(kind_of(w.translate(_OCR)) for w in inside):
+                if len(inside) == 1 and 2 <= len(inside[0]) <= 5 and inside[0].isalpha():
+                    hint = inside[0]
+                text = text[: tail.start()]
+        marks = [m for m in re.finditer(r"\s*[:;—–]\s*|\s+-\s+|/", text) if m.start() > 0]
+        unit = marks and (text[: marks[-1].start()], text[marks[-1].end() :], "/" in marks[-1][0])
+        if unit:
+            last = _words(unit[1])
+            is_unit = len(last) >= 2 and any(_near(last[-1], w, 1 if len(w) < 7 else 2) for w in UNIT_WORDS)
+            if is_unit or not unit[2] and not any(kind_of(w) for w in last):
+                text = unit[0]
+        text = text.strip(" -,:;/")
+        if text == before:
+            break
+    flat = _words(text)
+    if len(flat) == 1 and flat[0].isalpha() and 2 <= len(flat[0]) <= 5:
+        return {"acronym": flat[0], "words": flat, "kinds": [], "hint": ""}
+    joined = " ".join(flat)
+    college = re.search(r"\b(?:CC DISTRICT|C C DISTRICT|CC|C C)\b", joined)
+    joined = re.sub(r"\b(?:CC DISTRICT|C C DISTRICT|CC|C C)\b", "COLLEGE", joined) if college else joined
+    words, kinds, home_seen = [], [], False
+    for w in joined.split():
+        w = w if w.isdigit() else w.translate(_OCR)
+        w = w.replace("RN", "M") if len(w) > 4 else w  # misread characters, here and in the list alike
+        kind = kind_of(w)
+        if kind:
+            kinds.append(kind)
+        elif w in STOP or 4 <= len(w) <= 6 and _near(w, "STATE", 1) or w in ("TH", "HE", "0F", "AN") or len(w) == 3 and _near(w, "THE", 1) and w == joined.split()[0]:
+            continue
+        elif abs(len(w) - len(home)) <= 2 and _near(w, home, 2):
+            home_seen = True
+        else:
+            words.append(w)
+    if "COLLEGE" in kinds:
+        words = [w for w in words if not _near(w, "COMMUNITY", 2) and not _near(w, "DISTRICT", 2)]
+        kinds = ["COLLEGE"]
+    return {"acronym": "", "words": words, "kinds": sorted(set(kinds)), "hint": hint}
+
+
+def expand(words: list[str], vocabulary: frozenset[str]) -> list[str]:
+    """Misspelt and clipped words as the word of the reference list that alone they can stand for."""
+    return [_expanded(w, vocabulary) for w in words]
+
+
+@lru_cache(maxsize=1 << 16)
+def _expanded(word: str, vocabulary: frozenset[str]) -> str:
+    if word in vocabulary or len(word) < 3:
+        return word
+    if SHORT.get(word) in vocabulary:
+        return SHORT[word]
+    most = 1 if len(word) < 5 else 2 if len(word) < 8 else 3
+    gaps = sorted((distance(word, v, most), v) for v in vocabulary if len(v) >= 4)
+    near = [v for gap, v in gaps if gap <= most and gap == gaps[0][0]]
+    if len(near) == 1 and 2 * gaps[0][0] < len(near[0]):
+        return near[0]
+    clipped = [v for v in vocabulary if v.startswith(word) and len(v) > len(word)]
+    if not clipped:
+        clipped = [v for v in vocabulary if v[0] == word[0] and v[-1] == word[-1] and len(v) >= len(word) + 2 and _in_order(word, v)]
+    if not clipped and len(word) >= 4:
+        clipped = [v for v in vocabulary if v[:2] == word[:2] and len(v) >= len(word) + 2 and _in_order(word, v)]
+    return clipped[0] if len(clipped) == 1 else word
+
+
+def _in_order(short: str, word: str) -> bool:
+    rest = iter(word)
+    return all(c in rest for c in short)

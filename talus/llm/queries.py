@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm.components import connected_groups
+from talus.llm.mapping import UNMATCHED, map_values
 from talus.llm.packing import pack
 from talus.llm.tokens import count_tokens, encode_texts
 from talus.llm.topn import top_n
@@ -14,6 +15,22 @@ from talus.llm.variants import name_groups, variant_pairs
 from talus.tables import name_key, table
 
 
+def typed_agencies(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_table, row_key, value, agency_id, score) of all agency names that were typed."""
+    reports = table(spark, folder, "ag_reports").select(F.lit("ag_reports").alias("source_table"), F.col("report_id").alias("row_key"), F.col("agency_raw").alias("value"))
+    lines = table(spark, folder, "fy2026_jlbc_structured").select(F.lit("fy2026_jlbc_structured").alias("source_table"), F.col("line_id").cast("string").alias("row_key"), F.col("agency").alias("value"))
+    return map_values(reports.unionByName(lines), "value", table(spark, folder, "agency_list"), "agency_id", "agency_name", "short_name")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return typed_agencies(spark, folder).select("source_table", "row_key", "agency_id").distinct()
+
+
+def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    found = typed_agencies(spark, folder).where(F.col("agency_id") == UNMATCHED)
+    return found.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     real = lambda c: F.when(~F.col(c).isin("", "NULL"), F.col(c)).alias(c)
     rows = table(spark, folder, "entity_crosswalk").select("entity_key", real("parent_key"))
@@ -62,5 +79,5 @@ def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack(count_tokens(table(spark, folder, "documents"), ["doc_id"], "text"), ["doc_id"], "n_tokens", CAPACITY)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packed": p9_packed}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packed": p9_packed}
 SQL = {"p3_found": P3_SQL, "p5_found": P5_SQL}
