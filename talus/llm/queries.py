@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talus.llm.components import connected_groups
 from talus.llm.mapping import UNMATCHED, map_values
 from talus.llm.packing import pack
+from talus.llm.quality import no_prose, prose_distance, quality_stats
 from talus.llm.tokens import count_tokens, encode_texts
 from talus.llm.topn import top_n
 from talus.staging import Staged
@@ -79,5 +80,13 @@ def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack(count_tokens(table(spark, folder, "documents"), ["doc_id"], "text"), ["doc_id"], "n_tokens", CAPACITY)
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packed": p9_packed}
+def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return prose_distance(quality_stats(table(spark, folder, "documents"), ["doc_id"], "text", table(spark, folder, "common_words")))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return no_prose(p10_stats(spark, folder)).select("doc_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_stats": p10_stats}
 SQL = {"p3_found": P3_SQL, "p5_found": P5_SQL}
