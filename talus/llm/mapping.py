@@ -89,7 +89,8 @@ def map_values(rows: DataFrame, value: str, entries: DataFrame, entry_id: str, e
     typed = rows.where(~is_blank(F.col(value)))
     counts = keep(typed.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")))
     form = "value string, short string, hint string, kinds string, grams array<struct<gram: string, n: int>>"
-    formed = keep(counts.select("value").mapInArrow(_formed(words(False), words(True), frozenset(shorts)), form))
+    spread = counts.select("value").repartition(spark.sparkContext.defaultParallelism, "value")  # little data, much work
+    formed = keep(spread.mapInArrow(_formed(words(False), words(True), frozenset(shorts)), form))
     looked = formed.where("short is null").select("value", F.explode("grams").alias("g")).select("value", "g.gram", "g.n")
     weighted = looked.join(F.broadcast(grams_df), "gram", "left").select("value", "gram", (F.col("n") * F.coalesce("rarity", F.lit(unknown))).alias("w"))
     norms = weighted.groupBy("value").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
