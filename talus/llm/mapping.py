@@ -86,8 +86,9 @@ def map_values(rows: DataFrame, value: str, entries: DataFrame, entry_id: str, e
     entry_df = spark.createDataFrame([(i, " ".join(f["kinds"]), s or "") for i, f, s in listed] or [(UNMATCHED, "", "")], "id int, entry_kinds string, entry_short string")
     short_df = spark.createDataFrame(list(shorts.items()) or [("", UNMATCHED)], "short string, short_id int")
 
-    typed = rows.where(~is_blank(F.col(value)))
-    counts = keep(typed.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in (entry_id, "score")]
+    typed = rows.where(~is_blank(F.col(value))).select(F.col(value).alias("_value"), *kept)
+    counts = keep(typed.groupBy(F.col("_value").alias("value")).agg(F.count(F.lit(1)).alias("n")))
     form = "value string, short string, hint string, kinds string, grams array<struct<gram: string, n: int>>"
     spread = counts.select("value").repartition(spark.sparkContext.defaultParallelism, "value")  # little data, much work
     formed = keep(spread.mapInArrow(_formed(words(False), words(True), frozenset(shorts)), form))
@@ -107,5 +108,4 @@ def map_values(rows: DataFrame, value: str, entries: DataFrame, entry_id: str, e
     decided = formed.select("value", "short").join(F.broadcast(short_df), "short", "left").join(best, "value", "left").join(counts, "value")
     decided = keep(decided.select("value", F.coalesce("short_id", "best_id", F.lit(UNMATCHED)).cast("int").alias(entry_id), F.when(F.col("short_id").isNotNull(), 1.0).otherwise(F.coalesce("best_score", F.lit(0.0))).alias("score"), "n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    out = split_join(typed.withColumn("value", F.col(value)) if value != "value" else typed, decided, "value", "n", total)
-    return out
+    return split_join(typed, decided.withColumnRenamed("value", "_value").withColumnRenamed("n", "_n"), "_value", "_n", total).drop("_value")

@@ -7,6 +7,7 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,8 +157,6 @@ def count_tokens(df: DataFrame, keys: list[str], text: str, vocab: str = "byte_b
 
 def decode_ids(ids: Column, vocab: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Column:
     """The texts of arrays of ids; null gives null."""
-    import pandas as pd
-
     path = vocabulary(vocab, folder)
 
     @F.pandas_udf("string")
