@@ -45,12 +45,14 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: str, max_blocks:
     is compared once.  A null key refers to nothing and is left out.  Without
     parents every reference is an orphan.
     """
-    refs = refs.where(F.col(key).isNotNull())
-    bloom, blocks = bloom_filter(parents.where(F.col(key).isNotNull()).select(key), key, max_blocks)
-    tested = might_contain(refs, key, bloom, blocks)
+    rows = refs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("_key"), F.struct(*[F.col(f"`{c}`") for c in refs.columns]).alias("_row"))
+    keys = parents.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("_key"))
+    bloom, blocks = bloom_filter(keys, "_key", max_blocks)
+    tested = might_contain(rows, "_key", bloom, blocks)
     passed = tested.where("maybe").drop("maybe")
-    missing = passed.select(key).distinct().join(parents.select(key), key, "left_anti")
-    return tested.where("not maybe").drop("maybe").unionByName(passed.join(missing, key, "left_semi"))
+    missing = passed.select("_key").distinct().join(keys, "_key", "left_anti")
+    found = tested.where("not maybe").drop("maybe").unionByName(passed.join(missing, "_key", "left_semi"))
+    return found.select("_row.*")
 
 
 def cited_reports(text: Column) -> Column:
