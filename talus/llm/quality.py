@@ -35,11 +35,11 @@ _JOINING = {"of", "and", "on", "for", "de", "y", "del", "e", "la", "the", "los",
 _ARTICLES = {"the", "la", "los", "las", "el"}
 
 
-def _is_row(line: str, words: int, told: int) -> bool:
+def _is_row(line: str, words: int, told: int, all_: int) -> bool:
     """Cells or entries in a row: tags, bars, tabs, wide gaps, commas or arrows between short parts, or mostly figures."""
     if re.search(r"</?t[dhr]\b", line):
         return True
-    if told >= 0.25 * max(1, words) and words > 3:
+    if words > 3 and told >= 0.25 * words or words >= 10 and all_ >= 0.28 * words:
         return False
     digits = sum(c.isdigit() for c in line)
     solid = sum(not c.isspace() for c in line) or 1
@@ -62,12 +62,16 @@ def unsentenced(lines: list[str], common: frozenset[str]) -> list[bool]:
         words = [w.rstrip(".!?…").lower() for w in _TOKEN.findall(line)]
         told = sum(w in common and w not in _JOINING or w in _ARTICLES for w in words)
         counted.append((len(words), told, sum(w in common for w in words)))
-    sentence = [n >= 5 and (told >= 0.17 * n or _END.search(x) and told >= 1 and all_ >= 3 and all_ >= 0.2 * n) and (told >= 2 or bool(_END.search(x)))  for x, (n, told, all_) in zip(lines, counted)]
+    ends = [bool(_END.search(x)) for x in lines]
+    sentence = [
+        n >= 5 and (told >= 0.17 * n and (told >= 2 or end) or end and told >= 1 and all_ >= 3 and all_ >= 0.2 * n or n >= 10 and told >= 1 and all_ >= 0.25 * n)
+        for end, (n, told, all_) in zip(ends, counted)
+    ]
     marked = sum(bool(_WEAK_MARK.match(x)) for x in lines)
     listed = marked >= 2 and marked >= 0.2 * len(lines)
     for i, line in enumerate(lines):
-        n, told, _ = counted[i]
-        if _is_row(line, n, told) or _BULLET.match(line) or listed and _WEAK_MARK.match(line):
+        n, told, all_ = counted[i]
+        if _is_row(line, n, told, all_) or _BULLET.match(line) or listed and _WEAK_MARK.match(line):
             flags.append(True)
         elif _LABEL.match(line) and n <= 12 and told < 0.25 * n and not (i and sentence[i - 1] and not flags[i - 1]):
             flags.append(True)
@@ -76,7 +80,7 @@ def unsentenced(lines: list[str], common: frozenset[str]) -> list[bool]:
         else:
             near = [counted[j] for j in (i - 1, i, i + 1) if 0 <= j < len(lines)]
             all_words, all_told = sum(x[0] for x in near), sum(x[1] for x in near)
-            goes_on = i > 0 and not flags[i - 1] and sentence[i - 1] and not _END.search(lines[i - 1])
+            goes_on = i > 0 and not flags[i - 1] and sentence[i - 1] and not ends[i - 1]
             heads = i + 1 < len(lines) and n <= 12 and sentence[i + 1] and not _BULLET.match(lines[i + 1])
             wrapped = n >= 4 and told >= 1 and all_words >= 12 and all_told >= 0.2 * all_words
             flags.append(not (goes_on or heads or wrapped))
