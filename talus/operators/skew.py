@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,4 +72,5 @@ def heavy_values(df: DataFrame, fields: Sequence[str], share: float) -> DataFram
     values = df.select(pairs.alias("p")).select("p.*").where(F.col("key_value").isNotNull())
     every = df.select(F.explode(F.array(*[F.lit(f) for f in fields])).alias("field_name"))
     states = compact_join(values, every, ["field_name"], ["key_value"])
-    return states.where(F.col("left_rows") >= F.col("right_rows") * F.lit(share)).select("field_name", "key_value", F.col("left_rows").alias("n_rows"), F.col("right_rows").alias("all_rows"))
+    least = F.col("right_rows").cast("decimal(20,0)") * F.lit(Decimal(str(share)))
+    return states.where(F.col("left_rows") >= least).select("field_name", "key_value", F.col("left_rows").alias("n_rows"), F.col("right_rows").alias("all_rows"))
