@@ -8,8 +8,10 @@ from pyspark.sql import types as T
 
 from talus.staging import Staged
 
-#: Rows a bucket holds on average; smaller buckets read fewer rows, larger ones make a smaller matrix.
+#: Rows a bucket holds on average in small tables, and the most buckets there are: the matrix has at most so many
+#: rows per task, and the list of unequal buckets, which is broadcast, at most so many numbers.
 ROWS_PER_BUCKET = 16
+MAX_BUCKETS = 65_536
 
 
 def _settled(field: T.StructField) -> Column:
@@ -18,9 +20,13 @@ def _settled(field: T.StructField) -> Column:
     return F.sort_array(value) if isinstance(field.dataType, T.ArrayType) else value
 
 
+def _key(key: str) -> Column:
+    return F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\x00null"))
+
+
 def _hashed(df: DataFrame, key: str, fields: list[T.StructField], buckets: int) -> DataFrame:
     """Per row: bucket, hash of the key, hash of the row, one 64-bit hash per field that also covers the key."""
-    k = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\x00null"))
+    k = _key(key)
     hashes = [F.xxhash64(k, F.lit(i), F.col(f"`{f.name}`").isNull(), _settled(f)).alias(f"h{i}") for i, f in enumerate(fields)]
     out = df.select(F.xxhash64(k).alias("kh"), F.xxhash64(k, F.lit(7)).alias("hk"), *hashes)
     every = [F.col("hk"), *[F.col(f"h{i}") for i in range(len(fields))]]
@@ -28,19 +34,19 @@ def _hashed(df: DataFrame, key: str, fields: list[T.StructField], buckets: int)
 
 
 def _matrix(df: DataFrame, key: str, fields: list[T.StructField], buckets: int, prefix: str) -> DataFrame:
-    """Per bucket and field, the sums of the high and low halves of the hashes, with exact repeats counted once.
+    """Per bucket and field the sum of the upper 48 bits of the hashes, with exact repeats counted once.
 
     Repeats are found on two 64-bit hashes a row; their surplus enters the sums
-    with negative weight, so they cost no bucket its equality.
+    with negative weight, so they cost no bucket its equality.  A sum that
+    overflows is null, which equals nothing.
     """
     names = ["hk", *[f"h{i}" for i in range(len(fields))]]
     rows = _hashed(df, key, fields, buckets)
     surplus = rows.groupBy("kh", "rh").agg((1 - F.count(F.lit(1))).alias("w")).where("w < 0")
     again = rows.join(surplus, ["kh", "rh"]).dropDuplicates(["kh", "rh"])
     both = rows.withColumn("w", F.lit(1).cast("long")).unionByName(again)
-    half = lambda n, high: F.shiftright(n, 32) if high else F.col(n).bitwiseAND(F.lit(0xFFFFFFFF))
-    sums = [F.array(F.sum(F.col("w") * half(n, True)), F.sum(F.col("w") * half(n, False))).alias(f"{prefix}{n}") for n in names]
-    return both.groupBy("bucket").agg(*sums)
+    sums = [F.try_sum(F.try_multiply("w", F.shiftright(n, 16))).alias(f"{prefix}{n}") for n in names]
+    return both.groupBy("bucket").agg(F.count(F.lit(1)).alias(f"{prefix}n"), *sums)
 
 
 def table_diff(first: DataFrame, second: DataFrame, key: str, table_name: str, tolerance: float = 1e-6, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -55,29 +61,41 @@ def table_diff(first: DataFrame, second: DataFrame, key: str, table_name: str, t
     paired in the order of their values and unpaired ones are missing rows.  A
     null key is a key (row_key null).  Two empty copies give no rows.
 
-    Both copies become a matrix of additive hashes per key bucket and field.
-    Only buckets with an unequal cell are read again, and of the fields only
-    those that are unequal in some bucket.
+    Both copies become a matrix of additive hashes per key bucket and field.  In
+    buckets with an unequal cell, hashes of the unequal fields tell the keys that
+    differ; only their rows are read and joined, and of the fields only those
+    that are unequal in some bucket.
     """
     spark = first.sparkSession
     keep = Staged(spark, "diff")
     others = {f.name: f for f in second.schema}
     fields = [f for f in first.schema if f.name != key and f.name in others]
     names = ["hk", *[f"h{i}" for i in range(len(fields))]]
-    buckets = max(16, max(first.count(), second.count()) // rows_per_bucket)
+    buckets = min(MAX_BUCKETS, max(16, max(first.count(), second.count()) // rows_per_bucket))
     a = _matrix(first, key, fields, buckets, "a_")
     b = _matrix(second, key, [others[f.name] for f in fields], buckets, "b_")
-    zero = F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))
-    cell = lambda n: F.coalesce(F.col(f"a_{n}"), zero) != F.coalesce(F.col(f"b_{n}"), zero)
-    unequal = a.join(b, "bucket", "full").select("bucket", F.array_compact(F.array(*[F.when(cell(n), F.lit(i - 1)) for i, n in enumerate(names)])).alias("cells"))
+    # equal only if neither side overflowed; a bucket without rows on a side has no cells
+    unlike = lambda n: ~F.coalesce(F.col(f"a_{n}") == F.col(f"b_{n}"), F.lit(False))
+    unequal = a.join(b, "bucket", "full").select("bucket", F.array_compact(F.array(*[F.when(unlike(n), F.lit(i - 1)) for i, n in enumerate(names)])).alias("cells"))
     unequal = keep(unequal.where(F.size("cells") > 0))
     at = sorted(r[0] for r in unequal.select(F.explode("cells")).distinct().collect() if r[0] >= 0)  # at most one number per column
     needed = [fields[i] for i in at]
+    where = F.broadcast(unequal.select("bucket"))  # at most MAX_BUCKETS rows
+
+    def in_unequal(df: DataFrame) -> DataFrame:
+        kh = F.xxhash64(_key(key))
+        rows = df.select(F.pmod(kh, F.lit(buckets)).alias("bucket"), kh.alias("kh"), _key(key).alias("k"), *[_settled(f).alias(f"v{i}") for i, f in zip(at, needed)])
+        return rows.join(where, "bucket", "left_semi").drop("bucket")
+
+    def narrow(df: DataFrame, side: str) -> DataFrame:
+        values = [x for i in at for x in (F.col(f"v{i}").isNull(), F.col(f"v{i}"))]
+        return in_unequal(df).select("kh", F.xxhash64("k", *values).alias("rh"), F.lit(side == "x").alias("x"), F.lit(side == "y").alias("y"))
+
+    sides = narrow(first, "x").unionByName(narrow(second, "y")).groupBy("kh", "rh").agg(F.bool_or("x").alias("x"), F.bool_or("y").alias("y"))
+    differing = keep(sides.where("not (x and y)").select("kh").distinct())
 
     def suspects(df: DataFrame, side: str) -> DataFrame:
-        k = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\x00null"))
-        rows = df.select(F.pmod(F.xxhash64(k), F.lit(buckets)).alias("bucket"), k.alias("k"), *[_settled(f).alias(f"{side}{i}") for i, f in zip(at, needed)])
-        rows = rows.join(unequal.select("bucket"), "bucket", "left_semi").drop("bucket").distinct()
+        rows = in_unequal(df).join(differing, "kh", "left_semi").select("k", *[F.col(f"v{i}").alias(f"{side}{i}") for i in at]).distinct()
         order = [F.col(f"{side}{i}") for i in at] or [F.lit(1)]
         return rows.withColumn("version", F.row_number().over(Window.partitionBy("k").orderBy(*order))).withColumn(f"in_{side}", F.lit(True))
 
