@@ -33,7 +33,7 @@ def _hashed(df: DataFrame, key: str, fields: list[T.StructField], buckets: int)
     return out.select(F.pmod("kh", F.lit(buckets)).alias("bucket"), "kh", F.xxhash64(*every).alias("rh"), *every)
 
 
-def _matrix(df: DataFrame, key: str, fields: list[T.StructField], buckets: int, prefix: str) -> DataFrame:
+def _matrix(df: DataFrame, key: str, fields: list[T.StructField], buckets: int, prefix: str, keep: Staged) -> DataFrame:
     """Per bucket and field the sum of the upper 48 bits of the hashes, with exact repeats counted once.
 
     Repeats are found on two 64-bit hashes a row; their surplus enters the sums
@@ -42,7 +42,7 @@ def _matrix(df: DataFrame, key: str, fields: list[T.StructField], buckets: int,
     """
     names = ["hk", *[f"h{i}" for i in range(len(fields))]]
     rows = _hashed(df, key, fields, buckets)
-    surplus = rows.groupBy("kh", "rh").agg((1 - F.count(F.lit(1))).alias("w")).where("w < 0")
+    surplus = keep(rows.groupBy("kh", "rh").agg((1 - F.count(F.lit(1))).alias("w")).where("w < 0"))  # its size then decides how it is joined
     again = rows.join(surplus, ["kh", "rh"]).dropDuplicates(["kh", "rh"])
     both = rows.withColumn("w", F.lit(1).cast("long")).unionByName(again)
     sums = [F.try_sum(F.try_multiply("w", F.shiftright(n, 16))).alias(f"{prefix}{n}") for n in names]
@@ -72,8 +72,8 @@ def table_diff(first: DataFrame, second: DataFrame, key: str, table_name: str, t
     fields = [f for f in first.schema if f.name != key and f.name in others]
     names = ["hk", *[f"h{i}" for i in range(len(fields))]]
     buckets = min(MAX_BUCKETS, max(16, max(first.count(), second.count()) // rows_per_bucket))
-    a = _matrix(first, key, fields, buckets, "a_")
-    b = _matrix(second, key, [others[f.name] for f in fields], buckets, "b_")
+    a = _matrix(first, key, fields, buckets, "a_", keep)
+    b = _matrix(second, key, [others[f.name] for f in fields], buckets, "b_", keep)
     # equal only if neither side overflowed; a bucket without rows on a side has no cells
     unlike = lambda n: ~F.coalesce(F.col(f"a_{n}") == F.col(f"b_{n}"), F.lit(False))
     unequal = a.join(b, "bucket", "full").select("bucket", F.array_compact(F.array(*[F.when(unlike(n), F.lit(i - 1)) for i, n in enumerate(names)])).alias("cells"))
