@@ -80,8 +80,14 @@ def feature_mart(clean: DataFrame, config: MartConfig = MartConfig()) -> DataFra
     rows = rows.withColumn("mag_band", X.magnitude_band(amount)).withColumn("is_whole_dollar", amount == F.floor(amount)).withColumn("first_digit", X.leading_digit(amount)).withColumn("fp_canon", X.period_number(F.col("period")))
     for unit in config.round_units:
         rows = rows.withColumn(f"is_round_{unit}", X.is_multiple(amount, unit))
-    rows = rows.join(vendor_year(clean), ["vid", "fiscal_year"], "left").join(vendor_first(clean), "vid", "left").join(vendor_agency_year(clean), ["vid", "agency", "fiscal_year"], "left")
-    rows = rows.join(agency_year_total(clean), ["agency", "fiscal_year"], "left").join(duplicate_signatures(clean), ["vid", "ref", "amount"], "left").join(peer_stats(clean, config.floor), ["agency", "category1"], "left")
+    # one join for all vendor features; payments without a vendor get keys that match nothing, spread over all tasks
+    lone = F.concat(F.lit("~"), F.pmod(F.xxhash64("record_number", "txn", "amount"), F.lit(4096)).cast("string"))
+    rows = rows.withColumn("_vid", F.coalesce("vid", lone)).withColumn("_agency", F.coalesce("agency", F.lit("")))
+    vendors = vendor_agency_year(clean).join(vendor_year(clean), ["vid", "fiscal_year"]).join(vendor_first(clean), "vid")
+    vendors = vendors.withColumn("_agency", F.coalesce("agency", F.lit(""))).drop("agency").withColumnRenamed("vid", "_vid")
+    rows = rows.join(vendors, ["_vid", "_agency", "fiscal_year"], "left")
+    rows = rows.join(duplicate_signatures(clean).withColumnRenamed("vid", "_vid"), ["_vid", "ref", "amount"], "left").drop("_vid", "_agency")
+    rows = rows.join(agency_year_total(clean), ["agency", "fiscal_year"], "left").join(peer_stats(clean, config.floor), ["agency", "category1"], "left")
     spread = F.nullif(F.col("ac_q3") - F.col("ac_q1"), F.lit(0.0))
     z = F.when(F.col("ac_n") >= config.min_peers, (amount.cast("double") - F.col("ac_median")) / spread)
     share = F.col("vendor_agency_year_total").cast("double") / F.nullif(F.col("agency_year_total").cast("double"), F.lit(0.0))
