@@ -48,9 +48,11 @@ def match_edges(names: DataFrame) -> DataFrame:
     heads = rows.withColumn("head", F.min("entity_key").over(same))
     exact = heads.where("entity_key != head").select(F.col("head").alias("a"), F.col("entity_key").alias("b"), F.lit("norm_exact").alias("rule"))
     distinct = heads.where("entity_key = head").select("entity_key", "first", "jv", "cset")
-    # a set within another or like it shares the first core word and also its first or second sorted word
-    keyed = distinct.withColumn("word", F.explode(F.array_distinct(F.slice("cset", 1, 2))))
-    other = distinct.withColumn("word", F.explode("cset"))
+    # a set within another, or like it, has its first two words among the other's
+    pairs_of = lambda c: F.flatten(F.transform(c, lambda u, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda v: F.concat_ws(" ", u, v))))
+    several = distinct.where("size(cset) >= 2")
+    keyed = several.withColumn("word", F.concat_ws(" ", F.slice("cset", 1, 2)))
+    other = several.withColumn("word", F.explode(pairs_of(F.col("cset"))))
     x, y = keyed.alias("x"), other.alias("y")
     on = (F.col("x.first") == F.col("y.first")) & (F.col("x.word") == F.col("y.word")) & (F.col("x.jv") == F.col("y.jv")) & (F.col("x.entity_key") != F.col("y.entity_key"))
     pairs = x.join(y, on).select(F.least("x.entity_key", "y.entity_key").alias("a"), F.greatest("x.entity_key", "y.entity_key").alias("b"), match_rule("x", "y").alias("rule")).where("rule is not null")

@@ -186,6 +186,43 @@ def _compliance(s: SparkSession, d: str) -> DataFrame:
 
 _add("listed_payees", _compliance, rf"WITH {CLEAN_SQL}, l AS (SELECT DISTINCT nullif(upper(trim(regexp_replace(entity_key, '\s+', ' ', 'g'))), '') AS entity_key FROM vendor_verdicts), p AS (SELECT nullif(upper(trim(regexp_replace(payee, '\s+', ' ', 'g'))), '') AS entity_key, count(*) AS n, {_usd('sum(amount)', 'usd')} FROM clean GROUP BY 1) SELECT p.* FROM p JOIN l USING (entity_key)")
 
+
+
+def _audit_flags(s: SparkSession, d: str) -> DataFrame:
+    """Entities whose first agency (by name) was audited within a year of the entity's payments."""
+    e = table(s, d, "tier_entities").select("entity_key", "first_year", "last_year", F.try_element_at(F.array_sort("agencies"), F.lit(1)).alias("agency"))
+    spans = e.where("agency is not null").withColumn("fiscal_year", F.explode(F.sequence(F.col("first_year") - 1, F.col("last_year") + 1)))
+    audits = table(s, d, "ag_reports").where("agency_checkbook is not null and fiscal_year is not null").groupBy(F.col("agency_checkbook").alias("agency"), "fiscal_year").agg(F.count(F.lit(1)).alias("n"))
+    near = spans.join(audits, ["agency", "fiscal_year"]).groupBy("entity_key").agg(F.sum("n").alias("n_reports"))
+    return e.join(near, "entity_key", "left").select("entity_key", "agency", F.coalesce("n_reports", F.lit(0)).alias("n_reports"))
+
+
+_add(
+    "entities_audit_flag",
+    _audit_flags,
+    "WITH e AS (SELECT entity_key, first_year, last_year, list_sort(agencies)[1] AS agency FROM tier_entities) SELECT entity_key, agency, (SELECT count(*) FROM ag_reports r WHERE r.agency_checkbook = e.agency AND r.fiscal_year BETWEEN first_year - 1 AND last_year + 1) AS n_reports FROM e",
+)
+
+
+def _statewide(s: SparkSession, d: str) -> DataFrame:
+    """One row of totals over ledger, scores, audits and budget."""
+    spent = expenditure(s, d).agg(F.sum("amount").alias("_s"), F.countDistinct("agency").alias("n_agencies"))
+    tiers = table(s, d, "tx_tiered").distinct().agg(F.count(F.when(F.col("tier") == 1, 1)).alias("n_tier1"), F.count(F.lit(1)).alias("n_scored"))
+    audits = table(s, d, "ag_reports").agg(F.count(F.lit(1)).alias("n_reports"))
+    planned = budgets(s, d).agg(F.round(F.sum("budget"), 2).alias("budget"))
+    one = spent.select(R.money("_s", "spent"), "n_agencies")
+    for part in (tiers, audits, planned):  # each is one row
+        one = one.crossJoin(F.broadcast(part))
+    return one
+
+
+_add(
+    "statewide_summary",
+    _statewide,
+    f"WITH {CLEAN_SQL} SELECT (SELECT round(CAST(sum(amount) AS DOUBLE), 2) FROM clean) AS spent, (SELECT count(DISTINCT agency) FROM clean) AS n_agencies, (SELECT count(*) FROM (SELECT DISTINCT * FROM tx_tiered) WHERE tier = 1) AS n_tier1, (SELECT count(*) FROM (SELECT DISTINCT * FROM tx_tiered)) AS n_scored, (SELECT count(*) FROM ag_reports) AS n_reports, (SELECT round(sum(budget), 2) FROM ({_BUDGETS})) AS budget",
+)
+_add("budget_over_spent", lambda s, d: _variance(s, d).where("status = 'over'"), f"SELECT * FROM ({SQL['budget_actual_audit']}) WHERE status = 'over'")
+
 # the configured score over the mart
 _SCORE_COLUMNS = ["record_number", "txn", *[f"f_{f}" for f in C.DEFAULT.families], "marker_sum", "risk_band", "tier"]
 

@@ -171,6 +171,11 @@ _on_clean(
     lambda x: S.structuring(x, 5000, 250, 1, 15),
     "SELECT agency, count(*) FILTER (WHERE amount >= 4750 AND amount < 5000) AS n_under, count(*) FILTER (WHERE amount >= 5000 AND amount < 5250) AS n_over, round(n_under / nullif(n_over::DOUBLE, 0), 4) AS ratio FROM clean WHERE agency IS NOT NULL GROUP BY 1 HAVING n_under >= 1 ORDER BY ratio DESC NULLS FIRST, agency LIMIT 15",
 )
+_on_clean(
+    "structuring_ratio_10k",
+    lambda x: S.structuring(x, 10_000, 500, 1, 15),
+    "SELECT agency, count(*) FILTER (WHERE amount >= 9500 AND amount < 10000) AS n_under, count(*) FILTER (WHERE amount >= 10000 AND amount < 10500) AS n_over, round(n_under / nullif(n_over::DOUBLE, 0), 4) AS ratio FROM clean WHERE agency IS NOT NULL GROUP BY 1 HAVING n_under >= 1 ORDER BY ratio DESC NULLS FIRST, agency LIMIT 15",
+)
 _INVOICES = "SELECT fiscal_year, vid, invoice, amount, count(*) AS copies FROM clean WHERE vid IS NOT NULL AND invoice IS NOT NULL GROUP BY ALL HAVING count(*) > 1"
 _on_clean(
     "invoice_duplicates_summary",
