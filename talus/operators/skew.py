@@ -27,35 +27,38 @@ def split_join(rows: DataFrame, states: DataFrame, key: str, weight: str, total:
     return near.unionByName(far)
 
 
-def compact_join(left: DataFrame, right: DataFrame, on: Sequence[str], group: Sequence[str] = (), left_sums: dict[str, Column] | None = None, right_sums: dict[str, Column] | None = None) -> DataFrame:
+def compact_join(left: DataFrame, right: DataFrame, on: Sequence[str], group: Sequence[str] = (), left_sums: dict[str, Column] | None = None, right_sums: dict[str, Column] | None = None, how: str = "inner") -> DataFrame:
     """Both inputs aggregated by join key before the join, then the compact states joined.
 
     One row per (on, group): ``left_rows``, ``right_rows``, the sums of
     ``left_sums`` over the left rows and of ``right_sums`` over the right rows.
     Every input row is folded into its state on the map side, so a key with a
     third of all rows costs one state per task.  Null join keys match nothing;
-    null groups are a group.
+    null groups are a group.  ``how``: inner or left; left keeps the left states
+    that match nothing, with nulls for ``right_rows`` and the right sums.
     """
     lefts = [F.sum(c).alias(n) for n, c in (left_sums or {}).items()]
     rights = [F.sum(c).alias(n) for n, c in (right_sums or {}).items()]
     a = left.groupBy(*on, *group).agg(F.count(F.lit(1)).alias("left_rows"), *lefts)
     b = right.groupBy(*on).agg(F.count(F.lit(1)).alias("right_rows"), *rights)
-    return a.join(b, list(on), "inner")
+    return a.join(b, list(on), how)
 
 
-def eager_join_aggregate(left: DataFrame, right: DataFrame, on: Sequence[str], group: Sequence[str], left_sums: dict[str, Column] | None = None, right_sums: dict[str, Column] | None = None) -> DataFrame:
+def eager_join_aggregate(left: DataFrame, right: DataFrame, on: Sequence[str], group: Sequence[str], left_sums: dict[str, Column] | None = None, right_sums: dict[str, Column] | None = None, how: str = "inner") -> DataFrame:
     """Counts and sums of ``left JOIN right`` per ``group``, without making the joined rows.
 
     A left state of n rows meets a right state of m rows in n*m joined rows, so
     ``joined_rows`` adds n*m, a left sum counts m times and a right sum n times.
     ``group`` names columns of the left input (or of ``on``).  Empty inputs give
-    no rows; null measures are left out of sums as in SQL.
+    no rows; null measures are left out of sums as in SQL.  With ``how`` left, a
+    left state that matches nothing (as one with a null key) stays: it adds no
+    ``joined_rows``, its left sums count once and it has no right sums.
     """
     extra = [g for g in group if g not in on]
-    states = compact_join(left, right, on, extra, left_sums, right_sums)
-    times = lambda value, n: F.sum(F.col(value) * F.col(n)).alias(value)
+    states = compact_join(left, right, on, extra, left_sums, right_sums, how)
+    times = lambda value, n: F.sum(F.col(value) * F.coalesce(F.col(n), F.lit(1))).alias(value)
     return states.groupBy(*group).agg(
-        F.sum(F.col("left_rows") * F.col("right_rows")).alias("joined_rows"),
+        F.sum(F.col("left_rows") * F.coalesce(F.col("right_rows"), F.lit(0))).alias("joined_rows"),
         *[times(n, "right_rows") for n in (left_sums or {})],
         *[times(n, "left_rows") for n in (right_sums or {})],
     )

@@ -19,9 +19,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _per_key(spark: SparkSession, folder: str, ledger_key: str, scored_key: str) -> DataFrame:
+    """Joined rows and sums of every ledger key; a key (or null) without a scored payment has 0 joined rows, its own ledger sum and null scored sums.
+
+    The SQL of these queries is an inner join and gives only the keys that have
+    a scored payment.
+    """
     ledger = table(spark, folder, "transactions").select(F.col(ledger_key).alias("key_value"), "amount")
     scored = table(spark, folder, "tx_tiered").select(F.col(scored_key).alias("key_value"), F.col("amount").alias("scored"), "n_markers")
-    out = eager_join_aggregate(ledger, scored, ["key_value"], ["key_value"], {"ledger_amount": F.col("amount")}, {"scored_amount": F.col("scored"), "markers": F.col("n_markers").cast("long")})
+    out = eager_join_aggregate(ledger, scored, ["key_value"], ["key_value"], {"ledger_amount": F.col("amount")}, {"scored_amount": F.col("scored"), "markers": F.col("n_markers").cast("long")}, "left")
     money = lambda c: F.round(F.col(c).cast("double"), 2).alias(c)
     return out.select("key_value", "joined_rows", money("ledger_amount"), money("scored_amount"), "markers")
 

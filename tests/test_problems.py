@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talus.operators.diff import table_diff
 from talus.operators.orphans import cited_reports, orphan_references
 from talus.operators.skew import eager_join_aggregate, heavy_values, split_join
+from talus.plans.problems import p2_agency_results, p2_vendor_results
 
 
 def rows(df):
@@ -29,6 +30,15 @@ def test_eager_aggregate_of_empty_inputs(spark):
     assert eager_join_aggregate(a, b, ["k"], ["k"], {"v": F.col("v")}).count() == 0
 
 
+def test_results_of_keys_that_only_the_ledger_has(spark, tmp_path):
+    spark.createDataFrame([("v1", "a", 5), ("v1", "a", 7), ("v2", "b", 3), ("v2", "b", 4), (None, None, 2)], "vendor_id_code string, organization_level_1_name string, amount int").write.parquet(f"{tmp_path}/transactions.parquet")
+    spark.createDataFrame([("v1", "a", 100, 2), ("v1", "a", 200, 1), ("v9", "z", 1, 1)], "vendor_id_code string, agency string, amount int, n_markers int").write.parquet(f"{tmp_path}/tx_tiered.parquet")
+    want = [("1", 4, 24.0, 600.0, 6), ("2", 0, 7.0, None, None), (None, 0, 2.0, None, None)]
+    named = lambda names: Counter((names.get(k), *rest) for k, *rest in want)
+    assert rows(p2_vendor_results(spark, str(tmp_path))) == named({"1": "v1", "2": "v2"})
+    assert rows(p2_agency_results(spark, str(tmp_path))) == named({"1": "a", "2": "b"})
+
+
 def test_heavy_values_count_nulls_and_repeats(spark):
     data = [("a", None)] * 4 + [("a", "x")] + [("b", "x")] + [(None, "y")] * 4
     got = heavy_values(spark.createDataFrame(data, "p string, q string"), ["p", "q"], 0.4)
