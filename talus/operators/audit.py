@@ -10,6 +10,8 @@ from talus.operators.rollups import money
 
 # Words of agency names that tell no agency apart.
 BOILERPLATE = ["DEPT", "DEPARTMENT", "OF", "THE", "STATE", "AND", "BOARD", "COMMISSION", "OFFICE", "ON", "FOR"]
+# More words, in forms that people type, that tell no agency apart.
+TYPED_BOILERPLATE = [*BOILERPLATE, "DIVISION", "BUREAU", "DIV", "DPT", "DEPART", "BD", "BRD", "OFC", "OFF", "COMM", "COMN", "CMSN"]
 # Words that make a sentence with an amount one about cost.
 COST_WORDS = r"\b(spent|paid|payments|appropriated|difference|amount|totaling)\b"
 SPACE = "[ \t\n\r\f]"
@@ -64,6 +66,40 @@ def word_bridge(left: DataFrame, left_name: str, right: DataFrame, right_name: s
     return scored.withColumn("rn", rank).where("rn = 1").select(F.col("a").alias(left_name), F.col("b").alias("matched_name"), "score")
 
 
+def ranked_bridge(left: DataFrame, left_name: str, right: DataFrame, right_name: str, place: str = "", aliases: dict[str, str] | None = None) -> DataFrame:
+    """(left_name, right_name, match): the listed agency form that every typed agency form means; one row a typed form that means one.
+
+    Both columns hold values of ``agency_form``.  The first of these that holds
+    decides, then the most shared words and the largest share of them: direct
+    (equal), alias (equal once replaced by ``aliases``, form to form), prefix
+    (equal without THE, STATE, STATE OF and the ``place`` at the start), part
+    (one holds the other as whole words), same words, two shared words.
+    Boilerplate, years, numbers and single letters are no words here.  A typed
+    form that fits several listed ones equally well means none.
+    """
+    alias = F.lit(None).cast("string")
+    for typed, listed in (aliases or {}).items():
+        alias = F.when(F.col("a") == typed, F.lit(listed)).otherwise(alias)
+    front = rf"^((THE|STATE OF|STATE{'|' + place if place else ''}) )+"
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: (F.length(w) > 1) & ~w.isin([*TYPED_BOILERPLATE, place]) & ~w.rlike(r"^(FY)?\d+$")))
+    whole = lambda c: F.concat(F.lit("="), c)
+    a = left.select(F.col(left_name).alias("a")).where("a != ''").distinct().withColumn("alias", alias).withColumn("bare", F.regexp_replace(F.coalesce("alias", "a"), front, ""))
+    a = a.withColumn("words", words(F.col("bare"))).select("a", "alias", "bare", F.size("words").alias("na"), F.explode(F.array_union("words", F.array_compact(F.array(whole(F.col("a")), whole(F.col("alias")), whole(F.col("bare")))))).alias("w"))
+    b = right.select(F.col(right_name).alias("b")).where("b != ''").distinct().withColumn("words", words(F.col("b")))
+    b = b.select("b", F.size("words").alias("nb"), F.explode(F.array_union("words", F.array(whole(F.col("b"))))).alias("w"))
+    shared = a.join(b, "w").groupBy("a", "alias", "bare", "b", "na", "nb").agg(F.count(F.when(~F.col("w").startswith("="), 1)).alias("n"))
+    within = lambda x, y: F.concat(F.lit(" "), y, F.lit(" ")).contains(F.concat(F.lit(" "), x, F.lit(" ")))
+    names = ["direct", "alias", "prefix", "part", "same words", "two shared words"]
+    holds = [F.col("a") == F.col("b"), F.col("alias") == F.col("b"), F.col("bare") == F.col("b"), within(F.col("b"), F.col("bare")) | within(F.col("bare"), F.col("b")), (F.col("n") == F.col("na")) & (F.col("n") == F.col("nb")), F.col("n") >= 2]
+    rank = F.lit(None).cast("int")
+    for i, h in reversed(list(enumerate(holds))):
+        rank = F.when(h, F.lit(i)).otherwise(rank)
+    order = Window.partitionBy("a").orderBy("rank", F.desc("n"), F.desc(F.col("n") / F.nullif(F.col("na") + F.col("nb") - F.col("n"), F.lit(0))))
+    best = shared.withColumn("rank", rank).where("rank is not null").withColumn("place", F.rank().over(order)).where("place = 1")
+    one = best.groupBy("a").agg(F.count(F.lit(1)).alias("ties"), F.min("b").alias("b"), F.min("rank").alias("rank")).where("ties = 1")
+    return one.select(F.col("a").alias(left_name), F.col("b").alias(right_name), F.element_at(F.array(*[F.lit(x) for x in names]), F.col("rank") + 1).alias("match"))
+
+
 def spend_around(reports: DataFrame, clean: DataFrame, years: int, funds: dict[str, str]) -> DataFrame:
     """Of every report the agency's spending in its year, in the years around it, and of the fund its title names.
 

@@ -145,13 +145,27 @@ _add(
 )
 
 
+# Fixed value: the state's name, which people type before an agency's.
+PLACE = "CORVANE"
+
+
 def _variance(s: SparkSession, d: str) -> DataFrame:
-    """Budget against the last year's spending of agencies whose names agree, and what audits there are."""
-    spent = expenditure(s, d).where("fiscal_year = 2025 and agency is not null").withColumn("agency_form", X.agency_form(F.col("agency"))).groupBy("agency_form").agg(F.sum("amount").alias("_s"))
+    """Every budget agency's budget against the last year's spending, and what audits there are.
+
+    Typed names are resolved to the agencies that spent in the last two years
+    and summed per agency.  Names that mean none of them stay under their own
+    form, without spending and with the status unmatched.  The SQL joins equal
+    forms only.
+    """
+    years = expenditure(s, d).where("fiscal_year in (2024, 2025) and agency is not null").withColumn("agency_form", X.agency_form(F.col("agency"))).groupBy("agency_form").agg(F.sum(F.when(F.col("fiscal_year") == 2025, F.col("amount"))).alias("_s"))
     audits = table(s, d, "ag_reports").where("agency_checkbook is not null").withColumn("agency_form", X.agency_form(F.col("agency_checkbook"))).groupBy("agency_form").agg(F.count(F.lit(1)).alias("n_reports"))
-    out = budgets(s, d).join(spent, "agency_form").join(audits, "agency_form", "left").withColumn("actual", F.round(F.col("_s").cast("double"), 2))
+    typed = budgets(s, d).select("agency_form", "budget")
+    means = A.ranked_bridge(typed, "agency_form", years.select(F.col("agency_form").alias("listed")), "listed", PLACE)
+    by_agency = typed.join(means, "agency_form", "left").groupBy(F.coalesce("listed", "agency_form").alias("agency_form")).agg(F.round(F.sum("budget"), 2).alias("budget"), F.bool_or(F.col("listed").isNotNull()).alias("matched"))
+    out = by_agency.join(years, "agency_form", "left").join(audits, "agency_form", "left").withColumn("actual", F.when(F.col("matched"), F.round(F.col("_s").cast("double"), 2)))
     pct = F.round(100 * (F.col("actual") - F.col("budget")) / F.nullif(F.col("budget"), F.lit(0.0)), 4)
-    out = out.withColumn("variance_pct", pct).withColumn("status", F.when(pct > 20, "over").when(pct < -20, "under").when(pct.isNull(), "no budget").otherwise("near"))
+    told = F.when(~F.col("matched"), "unmatched").when(F.col("actual").isNull(), "no spend").when(pct > 20, "over").when(pct < -20, "under").when(pct.isNull(), "no budget").otherwise("near")
+    out = out.withColumn("variance_pct", pct).withColumn("status", told)
     risk = F.least(10 * F.coalesce("n_reports", F.lit(0)), F.lit(40)) + F.when(pct > 20, F.least(F.floor(pct), F.lit(30))).otherwise(0)
     return out.select("agency_form", "budget", "actual", "variance_pct", "status", F.coalesce("n_reports", F.lit(0)).alias("n_reports"), risk.cast("long").alias("risk"))
 

@@ -15,7 +15,8 @@ from talus.functions import cleaning as X
 from talus.operators import entities as E
 from talus.operators import rollups as R
 from talus.operators import scoring as C
-from talus.operators.audit import cost_sentences, finding_headings, word_bridge
+from talus.operators.audit import cost_sentences, finding_headings, ranked_bridge, word_bridge
+from talus.plans.audit_queries import _variance, budgets
 from talus.sources import ledger as L
 from talus.sources import sinks as K
 from talus.streaming.feeds import rollup, rollup_stream
@@ -117,6 +118,26 @@ def test_text_mining(spark):
     assert [tuple(r) for r in word_bridge(a, "x", b, "y").collect()] == [("Dept. of Water Safety", "DEPT OF WATER SAFETY", 1.0)]
 
 
+def test_typed_agencies_mean_listed_ones(spark):
+    listed = ["DEPT OF WATER SAFETY", "DEPT OF STATE", "BOARD OF PHARMACISTS", "LEAHOSTOU COMMUNITY COLLEGE", "KAKAKADEL COMMUNITY COLLEGE"]
+    cases = {
+        "DEPT OF WATER SAFETY": ("DEPT OF WATER SAFETY", "direct"), "DEPT OF STATE": ("DEPT OF STATE", "direct"), "WATER POLICE": ("DEPT OF WATER SAFETY", "alias"), "STATE OF X DEPT OF WATER SAFETY": ("DEPT OF WATER SAFETY", "prefix"),
+        "DEPT OF WATER SAFETY GRANTS BRANCH": ("DEPT OF WATER SAFETY", "part"), "X BD OF PHARMACISTS FY2022": ("BOARD OF PHARMACISTS", "same words"), "SAFETY OF WATER UNIT": ("DEPT OF WATER SAFETY", "two shared words"),
+        "OTHER COMMUNITY COLLEGE": None, "COMMUNITY COLLEGE": None, "BOARD": None, "WATER BANK": None, "": None, None: None,
+    }
+    a, b = spark.createDataFrame([(k,) for k in cases], "a string"), spark.createDataFrame([(k,) for k in [*listed, None]], "b string")
+    got = ranked_bridge(a, "a", b, "b", "X", {"WATER POLICE": "DEPT OF WATER SAFETY"}).collect()
+    assert {r.a: (r.b, r.match) for r in got} == {k: v for k, v in cases.items() if v} and len(got) == 7
+
+
+def test_every_budget_agency_stays(spark, tiny):
+    out = _variance(spark, tiny).collect()
+    assert sum(r.budget for r in out) == pytest.approx(sum(r.budget for r in budgets(spark, tiny).collect()))
+    assert len({r.agency_form for r in out}) == len(out)
+    unmatched = [r for r in out if r.status == "unmatched"]
+    assert unmatched and all(r.actual is None and r.variance_pct is None for r in unmatched)
+
+
 def test_api_reads(spark, tiny):
     api = LedgerApi(spark, tiny)
     total = api.spend().first()
