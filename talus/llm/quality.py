@@ -102,7 +102,7 @@ def text_stats(text: str, common: dict[str, frozenset[str]]) -> tuple[str, int,
     flags = unsentenced(lines, common.get(lang, frozenset()))
     n = max(1, len(words))
     stats = [
-        float(np.log1p(len(words))), min(40.0, sum(map(len, words)) / n), symbols / solid, digits / solid, sum(bool(_END.search(x)) for x in lines) / len(lines),
+        float(np.log1p(len(words))), sum(map(len, words)) / n, symbols / solid, digits / solid, sum(bool(_END.search(x)) for x in lines) / len(lines),
         shares.get(lang, 0) / n, sum(flags) / len(lines), float(np.log1p(len(words) / len(lines))),
     ]
     return lang, len(words), stats

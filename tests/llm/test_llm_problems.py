@@ -222,6 +222,12 @@ def test_prose_is_told_from_lists_tables_and_junk(spark):
     assert abs(sum(r[f"{s}_part"] for s in quality.STATS) - r.distance) < 1e-6 * r.distance
 
 
+def test_long_unbroken_words_report_their_true_length(spark):
+    words = spark.createDataFrame([("the", "en")], "word string, lang string")
+    junk = spark.createDataFrame([("a", "x" * 60), ("b", "y" * 70 + " " + "z" * 90)], "doc_id string, text string")
+    assert {r.doc_id: r.mean_word_length for r in quality.quality_stats(junk, ["doc_id"], "text", words).collect()} == {"a": 60.0, "b": 80.0}
+
+
 def test_quality_of_nothing(spark):
     words = spark.createDataFrame([("the", "en")], "word string, lang string")
     none = spark.createDataFrame([], "doc_id long, text string")
