@@ -97,12 +97,13 @@ def waterfall(scored: DataFrame) -> DataFrame:
     )
 
 
-def transaction_lists(scored: DataFrame, key: str, k: int) -> DataFrame:
+def transaction_lists(scored: DataFrame, keys: str | Sequence[str], k: int) -> DataFrame:
     """Of every key its ``k`` riskiest payments as an array of structs, riskiest first."""
-    order = Window.partitionBy(key).orderBy(F.desc_nulls_last("risk_score"), F.desc_nulls_last("amount"), F.asc("transaction_id"), F.asc("record_number"))
-    first = scored.where(F.col(key).isNotNull()).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
-    item = F.struct("rn", F.col("fiscal_year").alias("fy"), F.col("posting_date").alias("date"), F.col("amount").alias("usd"), "agency", F.col("transaction_id").alias("txn"), "tier")
-    return first.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("transactions"))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("risk_score"), F.desc_nulls_last("amount"), F.asc("transaction_id"), F.asc("record_number"))
+    first = scored.dropna(subset=keys).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    item = F.struct("rn", F.col("fiscal_year").alias("fy"), F.col("posting_date").alias("date"), F.col("amount").alias("usd"), "agency", F.col("transaction_id").alias("txn"), "tier", F.col("category1").alias("category"), F.col("risk_score").alias("score"), F.col("fired_markers").alias("markers"))
+    return first.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("transactions"))
 
 
 def primary(rows: DataFrame, key: str, value: str, amount: str) -> DataFrame:

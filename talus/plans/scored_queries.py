@@ -232,11 +232,20 @@ _add("vendor_nodes", _vendor_nodes)
 
 
 def _tree(s: SparkSession, d: str) -> DataFrame:
-    """Cabinet, agency and entity with counts, top four markers and top fifteen payments."""
+    """Cabinet, agency and entity with counts, tiers, ids, years, verdict and top four markers, and the entity's top fifteen payments at the agency.
+
+    The SQL gives no more than counts and markers.
+    """
     x = scored(s, d).where("entity_key is not null and agency is not null and marker_sum > 0").withColumn("cabinet", F.coalesce("cabinet_name", F.lit("(none)")))
     keys = ["cabinet", "agency", "entity_key"]
-    sums = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("_s"))
-    return _joined(sums.select(*keys, "n", R.money("_s", "usd")).join(R.top_markers(x, keys, "fired_markers", 4), keys, "left"), "top_markers")
+    sums = x.groupBy(*keys).agg(
+        F.mode("payee", deterministic=True).alias("entity_name"), F.countDistinct("vendor_id_code").alias("n_vendor_ids"), F.count(F.lit(1)).alias("n"), F.sum("amount").alias("_s"), *[F.count(F.when(F.col("tier") == t, 1)).alias(f"n_tier{t}") for t in (1, 2)],
+        F.min("tier").alias("top_tier"), F.max("risk_score").alias("max_risk_score"), F.min("fiscal_year").alias("first_year"), F.max("fiscal_year").alias("last_year"),
+    )
+    context = table(s, d, "vendor_verdicts").groupBy(X.entity_key(F.col("entity_key")).alias("entity_key")).agg(F.max("public_context").alias("context"))
+    told = verdicts(s, d).join(context, "entity_key")
+    tree = sums.withColumn("usd", R.money("_s", "usd")).drop("_s").join(R.top_markers(x, keys, "fired_markers", 4), keys, "left")
+    return _joined(tree.join(R.transaction_lists(x, keys[1:], 15), keys[1:], "left").join(told, "entity_key", "left"), "top_markers")
 
 
 _add(

@@ -17,6 +17,7 @@ from talus.operators import rollups as R
 from talus.operators import scoring as C
 from talus.operators.audit import cost_sentences, finding_headings, ranked_bridge, word_bridge
 from talus.plans.audit_queries import _variance, budgets
+from talus.plans.scored_queries import _tree, scored
 from talus.sources import ledger as L
 from talus.sources import sinks as K
 from talus.streaming.feeds import rollup, rollup_stream
@@ -138,6 +139,18 @@ def test_every_budget_agency_stays(spark, tiny):
     assert unmatched and all(r.actual is None and r.variance_pct is None for r in unmatched)
 
 
+def test_entity_tree_lists_payments(spark, tiny):
+    rows = _tree(spark, tiny).collect()
+    paid = {}
+    for r in scored(spark, tiny).where("entity_key is not null and agency is not null and marker_sum > 0").collect():
+        paid.setdefault((r.agency, r.entity_key), []).append(r)
+    assert rows and {(r.agency, r.entity_key) for r in rows} == set(paid)
+    for r in rows:
+        own = sorted(paid[r.agency, r.entity_key], key=lambda p: (p.risk_score is None, -(p.risk_score or 0), p.amount is None, -(p.amount or 0), p.transaction_id or "", p.record_number or ""))[:15]
+        assert [(t.txn, t.score, t.category, t.markers) for t in r.transactions] == [(p.transaction_id, p.risk_score, p.category1, p.fired_markers) for p in own]
+        assert r.n_tier1 + r.n_tier2 <= r.n and r.first_year <= r.last_year
+
+
 def test_api_reads(spark, tiny):
     api = LedgerApi(spark, tiny)
     total = api.spend().first()
