@@ -100,6 +100,19 @@ def ranked_bridge(left: DataFrame, left_name: str, right: DataFrame, right_name:
     return one.select(F.col("a").alias(left_name), F.col("b").alias(right_name), F.element_at(F.array(*[F.lit(x) for x in names]), F.col("rank") + 1).alias("match"))
 
 
+def holding_listed(names: DataFrame, key: str, listed: DataFrame, listed_key: str) -> DataFrame:
+    """(key): the names that hold a listed name as whole words in a row; punctuation is a space.
+
+    Every run of words of a name is looked up in the list by an equality join,
+    so neither side has to be small.
+    """
+    form = lambda c: F.trim(F.regexp_replace(F.upper(F.col(c)), r"[^\p{L}\p{N}]+", " "))
+    split = names.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_form", form(key)).where("_form != ''").withColumn("_words", F.split("_form", " "))
+    size = F.size("_words")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.array_join(F.slice("_words", i, n), " "))))
+    return split.select(key, F.explode(F.array_distinct(runs)).alias("_form")).join(listed.select(form(listed_key).alias("_form")).distinct(), "_form", "left_semi").select(key).distinct()
+
+
 def spend_around(reports: DataFrame, clean: DataFrame, years: int, funds: dict[str, str]) -> DataFrame:
     """Of every report the agency's spending in its year, in the years around it, and of the fund its title names.
 

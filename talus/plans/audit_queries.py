@@ -192,10 +192,14 @@ _add("repeats_within_a_week", _near_repeats, f"WITH {CLEAN_SQL} SELECT fiscal_ye
 
 
 def _compliance(s: SparkSession, d: str) -> DataFrame:
-    """Ledger payees that are on the list of reviewed entities, by name key, with what they were paid."""
+    """Ledger payees that are on the list of reviewed entities by name key, or hold a listed name as whole words, with what they were paid.
+
+    The SQL matches name keys only.
+    """
     listed = table(s, d, "vendor_verdicts").select(X.entity_key(F.col("entity_key")).alias("entity_key")).where("entity_key is not null").distinct()
     paid = expenditure(s, d).withColumn("entity_key", X.entity_key(F.col("payee"))).groupBy("entity_key").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("_s"))
-    return paid.join(listed, "entity_key").select("entity_key", "n", R.money("_s", "usd"))
+    found = listed.unionByName(A.holding_listed(paid, "entity_key", listed, "entity_key")).distinct()
+    return paid.join(found, "entity_key").select("entity_key", "n", R.money("_s", "usd"))
 
 
 _add("listed_payees", _compliance, rf"WITH {CLEAN_SQL}, l AS (SELECT DISTINCT nullif(upper(trim(regexp_replace(entity_key, '\s+', ' ', 'g'))), '') AS entity_key FROM vendor_verdicts), p AS (SELECT nullif(upper(trim(regexp_replace(payee, '\s+', ' ', 'g'))), '') AS entity_key, count(*) AS n, {_usd('sum(amount)', 'usd')} FROM clean GROUP BY 1) SELECT p.* FROM p JOIN l USING (entity_key)")

@@ -15,7 +15,7 @@ from talus.functions import cleaning as X
 from talus.operators import entities as E
 from talus.operators import rollups as R
 from talus.operators import scoring as C
-from talus.operators.audit import cost_sentences, finding_headings, ranked_bridge, word_bridge
+from talus.operators.audit import cost_sentences, finding_headings, holding_listed, ranked_bridge, word_bridge
 from talus.plans.audit_queries import _variance, budgets
 from talus.plans.scored_queries import _tree, scored
 from talus.sources import ledger as L
@@ -151,6 +151,21 @@ def test_entity_tree_lists_payments(spark, tiny):
         assert r.n_tier1 + r.n_tier2 <= r.n and r.first_year <= r.last_year
 
 
+def test_listed_names_within_payees(spark):
+    names = ["ACME", "ACME CO. PLUMBING", "THE ACME-CO", "ACMECO", "BIG ACME COX", "ZED", "...", "", None]
+    df, listed = spark.createDataFrame([(k,) for k in names], "k string"), spark.createDataFrame([("ACME CO",), ("ZED",), ("...",), (None,)], "l string")
+    assert sorted(r.k for r in holding_listed(df, "k", listed, "l").collect()) == ["ACME CO. PLUMBING", "THE ACME-CO", "ZED"]
+
+
+def test_listed_payees_hold_listed_names(spark, monkeypatch):
+    import talus.plans.audit_queries as Q
+
+    paid = spark.createDataFrame([("Acme Co", 1), ("Acme Co Plumbing", 2), ("Acmeco", 4)], "payee string, amount int")
+    monkeypatch.setattr(Q, "expenditure", lambda s, d: paid)
+    monkeypatch.setattr(Q, "table", lambda s, d, t: spark.createDataFrame([("ACME CO",)], "entity_key string"))
+    assert {tuple(r) for r in Q._compliance(spark, "").collect()} == {("ACME CO", 1, 1.0), ("ACME CO PLUMBING", 1, 2.0)}
+
+
 def test_api_reads(spark, tiny):
     api = LedgerApi(spark, tiny)
     total = api.spend().first()
