@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talus.llm.components import connected_groups
 from talus.llm.mapping import UNMATCHED, map_values
 from talus.llm.packing import pack
-from talus.llm.quality import no_prose, prose_distance, quality_stats
+from talus.llm.quality import BREAK, ENDED, PLAIN_START, SPACE, TAIL, WORD, no_prose, prose_distance, text_stats
 from talus.llm.tokens import count_tokens, encode_texts
 from talus.llm.topn import top_n
 from talus.staging import Staged
@@ -80,13 +80,39 @@ def p9_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack(count_tokens(table(spark, folder, "documents"), ["doc_id"], "text"), ["doc_id"], "n_tokens", CAPACITY)
 
 
+def p10_text_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The plain statistics alone, which SQL can give too."""
+    stats = text_stats(table(spark, folder, "documents"), ["doc_id"], "text", table(spark, folder, "common_words"))
+    ratios = [c for c, kind in stats.dtypes if kind == "double"]
+    return stats.withColumns({c: F.round(c, 6) for c in ratios})
+
+
 def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return prose_distance(quality_stats(table(spark, folder, "documents"), ["doc_id"], "text", table(spark, folder, "common_words")))
+    return prose_distance(text_stats(table(spark, folder, "documents"), ["doc_id"], "text", table(spark, folder, "common_words")))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return no_prose(p10_stats(spark, folder)).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_stats": p10_stats}
-SQL = {"p3_found": P3_SQL, "p5_found": P5_SQL}
+_sql = lambda pattern: pattern.replace("'", "''")
+_PER = "CAST({a} AS DOUBLE) / greatest({b}, 1)"
+_PLAIN_CHARS = "length(replace(replace(array_to_string(words, ''), chr(39), ''), '’', ''))"
+P10_TEXT_STATS_SQL = f"""
+WITH listed AS (SELECT lang, list(lower(word)) AS own FROM common_words WHERE word IS NOT NULL AND lang IS NOT NULL GROUP BY lang),
+parts AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{_sql(BREAK)}'), lambda x: regexp_matches(x, '[^{_sql(SPACE)}]')) AS lines,
+                 regexp_extract_all(lower(text), '{_sql(WORD)}') AS words, length(regexp_replace(text, '[{_sql(SPACE)}]+', '', 'g')) AS solid FROM documents),
+marks AS (SELECT doc_id, lang, list_transform(words, lambda w: list_contains(own, w)) AS m FROM parts, listed),
+counts AS (SELECT doc_id, lang, len(list_filter(m, lambda x: x)) AS n, len(list_filter(list_zip(m[:-2], m[2:]), lambda x: x[1] AND x[2])) AS pairs FROM marks),
+best AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) = 1)
+SELECT p.doc_id, CASE WHEN ok THEN lang END AS language, CASE WHEN ok THEN len(words) END AS n_words, CASE WHEN ok THEN len(lines) END AS n_lines, CASE WHEN ok THEN solid END AS n_solid,
+  CASE WHEN ok THEN round({_PER.format(a="length(array_to_string(words, ''))", b="len(words)")}, 6) END AS mean_word_length,
+  CASE WHEN ok THEN round({_PER.format(a=f"solid - {_PLAIN_CHARS}", b="solid")}, 6) END AS symbol_ratio,
+  CASE WHEN ok THEN round({_PER.format(a=r"length(regexp_replace(text, '[^\p{Nd}]+', '', 'g'))", b="solid")}, 6) END AS digit_ratio,
+  CASE WHEN ok THEN round({_PER.format(a=f"len(list_filter(lines, lambda x: regexp_matches(right(x, {TAIL}), '{_sql(ENDED)}')))", b="len(lines)")}, 6) END AS punctuated_lines,
+  CASE WHEN ok THEN round({_PER.format(a=f"len(list_filter(lines, lambda x: NOT regexp_matches(x, '{_sql(PLAIN_START)}')))", b="len(lines)")}, 6) END AS marked_lines,
+  CASE WHEN ok THEN round({_PER.format(a="n", b="len(words)")}, 6) END AS common_words, CASE WHEN ok THEN round({_PER.format(a="pairs", b="len(words)")}, 6) END AS common_pairs
+FROM (SELECT *, coalesce(len(lines) > 0, false) AS ok FROM parts) p LEFT JOIN best USING (doc_id)"""
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packed": p9_packed, "p10_found": p10_found, "p10_stats": p10_stats, "p10_text_stats": p10_text_stats}
+SQL = {"p3_found": P3_SQL, "p5_found": P5_SQL, "p10_text_stats": P10_TEXT_STATS_SQL}

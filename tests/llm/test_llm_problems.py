@@ -1,6 +1,7 @@
 """The operators of the llm subpackage against brute force and on odd input."""
 
 import random
+import textwrap
 from collections import Counter
 
 import pytest
@@ -210,25 +211,44 @@ WRAPPED = "\n".join(PROSE.upper()[i : i + 45] for i in range(0, len(PROSE), 45))
 
 def test_prose_is_told_from_lists_tables_and_junk(spark):
     odd = {"list": LISTING, "table": TABLE, "junk": "zzzz\nxxxxxx\n######\nqwerty\nasdfasdf", "menu": "Home\nSearch\nNext »\nHome\nPrint\nShare"}
-    prose = {f"p{i}": " ".join(PROSE.split(" ")[i % 5 :]) for i in range(60)} | {"wrapped": WRAPPED, "short": "It was not the first time that we saw this."}
+    prose = {f"p{i}": " ".join(PROSE.split(" ")[i % 5 :]) for i in range(60)}
+    prose = {k: v if i % 2 else "\n".join(textwrap.wrap(v, 40 + i)) for i, (k, v) in enumerate(prose.items())} | {"wrapped": WRAPPED, "short": "It was not the first time that we saw this."}
     blank = {"null": None, "empty": "", "blank": " \n\t\n "}
     words = spark.createDataFrame([(w, "en") for w in "the of and to in a is that for it was on are as with be at by from this have not has had we they could did will us".split()] + [(None, "en")], "word string, lang string")
     df = spark.createDataFrame([(k, v, "no") for k, v in (odd | prose | blank).items()], "doc_id string, text string, distance string")
-    out = quality.prose_distance(quality.quality_stats(df, ["doc_id"], "text", words))
+    out = quality.prose_distance(quality.text_stats(df, ["doc_id"], "text", words))
     got = {r.doc_id: r for r in out.collect()}
     assert {r.doc_id for r in quality.no_prose(out).collect()} == set(odd)
     assert all(got[k].distance is None and got[k].n_words is None for k in blank)
     r = got["table"]
-    assert abs(sum(r[f"{s}_part"] for s in quality.STATS) - r.distance) < 1e-6 * r.distance
+    assert abs(sum(r[f"{s.name}_part"] for s in quality.STATISTICS) - r.distance) < 1e-6 * r.distance
+
+
+def test_plain_statistics_are_what_they_say(spark):
+    words = spark.createDataFrame([("the", "en"), ("of", "en"), ("la", "es")], "word string, lang string")
+    text = "The roof of the\tbarn.\n\n- 12 (of)\u2028«La casa”!  "
+    r = quality.text_stats(spark.createDataFrame([(1, text, "x")], "n_words int, text string, language string"), ["n_words"], "text", words).toDF("key", "language", "n_words", "n_lines", *[f"c{i}" for i in range(8)]).first()
+    assert tuple(r)[:4] == (1, "en", 9, 3)
+    solid, letters = len("".join(text.split())), 16 + 2 + 2 + 6
+    assert [round(x, 9) for x in tuple(r)[4:]] == [solid, round(letters / 9, 9), round((solid - letters) / solid, 9), round(2 / solid, 9), round(2 / 3, 9), round(2 / 3, 9), round(4 / 9, 9), round(1 / 9, 9)]
+
+
+def test_the_distance_alone_decides_and_looks_one_way(spark):
+    words = spark.createDataFrame([(w, "en") for w in PROSE.lower().split()[:40]], "word string, lang string").distinct()
+    prose = [(i, " ".join(PROSE.split(" ")[i % 5 :])) for i in range(60)]
+    richer = [(100, "the and it was that they had been not for the and it was")]
+    out = quality.prose_distance(quality.text_stats(spark.createDataFrame(prose + richer + [(200, TABLE)], "id int, text string"), ["id"], "text", words))
+    far = {r.id: r.distance for r in out.collect()}
+    assert far[100] < quality.CUTOFF < far[200] and {r.id for r in quality.no_prose(out).collect()} == {k for k, d in far.items() if d > quality.CUTOFF}
 
 
 def test_long_unbroken_words_report_their_true_length(spark):
     words = spark.createDataFrame([("the", "en")], "word string, lang string")
     junk = spark.createDataFrame([("a", "x" * 60), ("b", "y" * 70 + " " + "z" * 90)], "doc_id string, text string")
-    assert {r.doc_id: r.mean_word_length for r in quality.quality_stats(junk, ["doc_id"], "text", words).collect()} == {"a": 60.0, "b": 80.0}
+    assert {r.doc_id: r.mean_word_length for r in quality.text_stats(junk, ["doc_id"], "text", words).collect()} == {"a": 60.0, "b": 80.0}
 
 
 def test_quality_of_nothing(spark):
     words = spark.createDataFrame([("the", "en")], "word string, lang string")
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert quality.prose_distance(quality.quality_stats(none, ["doc_id"], "text", words)).count() == 0
+    assert quality.prose_distance(quality.text_stats(none, ["doc_id"], "text", words)).count() == 0
