@@ -53,27 +53,26 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, on: Sequence[str], g
     no rows; null measures are left out of sums as in SQL.  With ``how`` left, a
     left state that matches nothing (as one with a null key) stays: it adds no
     ``joined_rows``, its left sums count once and it has no right sums.
+    ``left_rows`` counts the left rows themselves.
     """
     extra = [g for g in group if g not in on]
     states = compact_join(left, right, on, extra, left_sums, right_sums, how)
     times = lambda value, n: F.sum(F.col(value) * F.coalesce(F.col(n), F.lit(1))).alias(value)
     return states.groupBy(*group).agg(
+        F.sum("left_rows").alias("left_rows"),
         F.sum(F.col("left_rows") * F.coalesce(F.col("right_rows"), F.lit(0))).alias("joined_rows"),
         *[times(n, "right_rows") for n in (left_sums or {})],
         *[times(n, "left_rows") for n in (right_sums or {})],
     )
 
 
-def heavy_values(df: DataFrame, fields: Sequence[str], share: float) -> DataFrame:
-    """(field_name, key_value, n_rows, all_rows) of the values that hold at least ``share`` of all rows.
+def heavy_keys(results: DataFrame, key: str, rows: str, share: float) -> DataFrame:
+    """The per-key ``results`` whose ``rows`` are at least ``share`` of all keys' rows.
 
-    Values count exactly as stored; nulls are no value but count among all rows,
-    and so do repeated rows.  The rows per value and the rows per field are
-    joined as compact states.  An empty table gives no rows.
+    ``results`` has one row per key, the null key included, which counts among
+    all rows but is no heavy key.  The total is rolled up from the per-key
+    counts, one row that is broadcast.  Without keys there are no rows.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("key_value")) for f in fields]))
-    values = df.select(pairs.alias("p")).select("p.*").where(F.col("key_value").isNotNull())
-    every = df.select(F.explode(F.array(*[F.lit(f) for f in fields])).alias("field_name"))
-    states = compact_join(values, every, ["field_name"], ["key_value"])
-    least = F.col("right_rows").cast("decimal(20,0)") * F.lit(Decimal(str(share)))
-    return states.where(F.col("left_rows") >= least).select("field_name", "key_value", F.col("left_rows").alias("n_rows"), F.col("right_rows").alias("all_rows"))
+    total = results.agg(F.sum(rows).cast("decimal(20,0)").alias("_total"))
+    found = results.where(F.col(key).isNotNull()).crossJoin(F.broadcast(total))
+    return found.where(F.col(rows) >= F.col("_total") * F.lit(Decimal(str(share)))).drop("_total")

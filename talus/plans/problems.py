@@ -7,43 +7,46 @@ from pyspark.sql import functions as F
 
 from talus.operators.diff import table_diff
 from talus.operators.orphans import cited_reports, orphan_references
-from talus.operators.skew import eager_join_aggregate, heavy_values
+from talus.operators.skew import eager_join_aggregate, heavy_keys
 from talus.tables import is_blank, name_key, table
 
 HEAVY_SHARE = 0.02
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = heavy_values(table(spark, folder, "transactions"), ["organization_level_1_name", "vendor_id_code"], HEAVY_SHARE)
-    return found.select("field_name", "key_value")
-
+#: The keys of the ledger with the columns of the scored payments that hold the same keys.
+PER_KEY = {"organization_level_1_name": "agency", "vendor_id_code": "vendor_id_code"}
 
-def _per_key(spark: SparkSession, folder: str, ledger_key: str, scored_key: str) -> DataFrame:
-    """Joined rows and sums of every ledger key; a key (or null) without a scored payment has 0 joined rows, its own ledger sum and null scored sums.
 
-    The SQL of these queries is an inner join and gives only the keys that have
-    a scored payment.
-    """
+def _per_key(spark: SparkSession, folder: str, ledger_key: str) -> DataFrame:
+    """Rows, joined rows and sums of every ledger key; a key (or null) without a scored payment has 0 joined rows, its own ledger sum and null scored sums."""
     ledger = table(spark, folder, "transactions").select(F.col(ledger_key).alias("key_value"), "amount")
-    scored = table(spark, folder, "tx_tiered").select(F.col(scored_key).alias("key_value"), F.col("amount").alias("scored"), "n_markers")
+    scored = table(spark, folder, "tx_tiered").select(F.col(PER_KEY[ledger_key]).alias("key_value"), F.col("amount").alias("scored"), "n_markers")
     out = eager_join_aggregate(ledger, scored, ["key_value"], ["key_value"], {"ledger_amount": F.col("amount")}, {"scored_amount": F.col("scored"), "markers": F.col("n_markers").cast("long")}, "left")
     money = lambda c: F.round(F.col(c).cast("double"), 2).alias(c)
-    return out.select("key_value", "joined_rows", money("ledger_amount"), money("scored_amount"), "markers")
+    return out.select("key_value", F.col("left_rows").alias("ledger_rows"), "joined_rows", money("ledger_amount"), money("scored_amount"), "markers")
 
 
 def p2_agency_results(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_key(spark, folder, "organization_level_1_name", "agency")
+    return _per_key(spark, folder, "organization_level_1_name")
 
 
 def p2_vendor_results(spark: SparkSession, folder: str) -> DataFrame:
-    return _per_key(spark, folder, "vendor_id_code", "vendor_id_code")
+    return _per_key(spark, folder, "vendor_id_code")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The keys that hold most rows, out of the results of all keys."""
+    heavy = [heavy_keys(_per_key(spark, folder, f), "key_value", "ledger_rows", HEAVY_SHARE).select(F.lit(f).alias("field_name"), "key_value") for f in PER_KEY]
+    return heavy[0].unionByName(heavy[1])
 
 
-def _per_key_sql(ledger_key: str, scored_key: str) -> str:
+def _per_key_sql(ledger_key: str) -> str:
+    scored_key = PER_KEY[ledger_key]
     return f"""
-    SELECT t.{ledger_key} AS key_value, count(*) AS joined_rows, round(CAST(sum(t.amount) AS DOUBLE), 2) AS ledger_amount,
-           round(CAST(sum(s.amount) AS DOUBLE), 2) AS scored_amount, CAST(sum(s.n_markers) AS BIGINT) AS markers
-    FROM transactions t JOIN tx_tiered s ON t.{ledger_key} = s.{scored_key} GROUP BY 1"""
+    SELECT t.key_value, t.n AS ledger_rows, t.n * coalesce(s.n, 0) AS joined_rows, round(CAST(t.usd * coalesce(s.n, 1) AS DOUBLE), 2) AS ledger_amount,
+           round(CAST(s.usd * t.n AS DOUBLE), 2) AS scored_amount, CAST(s.markers * t.n AS BIGINT) AS markers
+    FROM (SELECT {ledger_key} AS key_value, count(*) AS n, sum(amount) AS usd FROM transactions GROUP BY 1) t
+    LEFT JOIN (SELECT {scored_key} AS key_value, count(*) AS n, sum(amount) AS usd, sum(n_markers) AS markers FROM tx_tiered GROUP BY 1) s ON t.key_value = s.key_value"""
 
 
 P2_FOUND_SQL = " UNION ALL ".join(
@@ -163,8 +166,8 @@ QUERIES = {
 }
 SQL = {
     "p2_found": P2_FOUND_SQL,
-    "p2_agency_results": _per_key_sql("organization_level_1_name", "agency"),
-    "p2_vendor_results": _per_key_sql("vendor_id_code", "vendor_id_code"),
+    "p2_agency_results": _per_key_sql("organization_level_1_name"),
+    "p2_vendor_results": _per_key_sql("vendor_id_code"),
     "p6_found": P6_FOUND_SQL,
     "p7_found": P7_FOUND_SQL,
     "p7_orphans_by_period": P7_BY_PERIOD_SQL,

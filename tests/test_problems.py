@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from talus.operators.diff import table_diff
 from talus.operators.orphans import cited_reports, orphan_references
-from talus.operators.skew import eager_join_aggregate, heavy_values, split_join
-from talus.plans.problems import p2_agency_results, p2_vendor_results
+from talus.operators.skew import eager_join_aggregate, heavy_keys, split_join
+from talus.plans.problems import p2_agency_results, p2_found, p2_vendor_results
 
 
 def rows(df):
@@ -33,17 +33,18 @@ def test_eager_aggregate_of_empty_inputs(spark):
 def test_results_of_keys_that_only_the_ledger_has(spark, tmp_path):
     spark.createDataFrame([("v1", "a", 5), ("v1", "a", 7), ("v2", "b", 3), ("v2", "b", 4), (None, None, 2)], "vendor_id_code string, organization_level_1_name string, amount int").write.parquet(f"{tmp_path}/transactions.parquet")
     spark.createDataFrame([("v1", "a", 100, 2), ("v1", "a", 200, 1), ("v9", "z", 1, 1)], "vendor_id_code string, agency string, amount int, n_markers int").write.parquet(f"{tmp_path}/tx_tiered.parquet")
-    want = [("1", 4, 24.0, 600.0, 6), ("2", 0, 7.0, None, None), (None, 0, 2.0, None, None)]
+    want = [("1", 2, 4, 24.0, 600.0, 6), ("2", 2, 0, 7.0, None, None), (None, 1, 0, 2.0, None, None)]
     named = lambda names: Counter((names.get(k), *rest) for k, *rest in want)
     assert rows(p2_vendor_results(spark, str(tmp_path))) == named({"1": "v1", "2": "v2"})
     assert rows(p2_agency_results(spark, str(tmp_path))) == named({"1": "a", "2": "b"})
+    assert rows(p2_found(spark, str(tmp_path))) == Counter((f, k) for f, ks in (("organization_level_1_name", "ab"), ("vendor_id_code", ("v1", "v2"))) for k in ks)
 
 
-def test_heavy_values_count_nulls_and_repeats(spark):
-    data = [("a", None)] * 4 + [("a", "x")] + [("b", "x")] + [(None, "y")] * 4
-    got = heavy_values(spark.createDataFrame(data, "p string, q string"), ["p", "q"], 0.4)
-    assert rows(got) == Counter({("p", "a", 5, 10): 1, ("q", "y", 4, 10): 1})
-    assert heavy_values(spark.createDataFrame([], "p string, q string"), ["p", "q"], 0.02).count() == 0
+def test_heavy_keys_count_nulls_and_repeats(spark):
+    data = spark.createDataFrame([("a",)] * 4 + [("b",)] * 2 + [(None,)] * 4, "k string").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert rows(heavy_keys(data, "k", "n", 0.4)) == Counter({("a", 4): 1})
+    assert rows(heavy_keys(data, "k", "n", 0.2)) == Counter({("a", 4): 1, ("b", 2): 1})
+    assert heavy_keys(data.limit(0), "k", "n", 0.02).count() == 0
 
 
 def test_split_join_keeps_every_row_once(spark):
