@@ -8,48 +8,56 @@ from pyspark.sql import types as T
 
 from talus.staging import Staged
 
-#: Rows a bucket holds on average in small tables, and the most buckets there are: the matrix has at most so many
-#: rows per task, and the list of unequal buckets, which is broadcast, at most so many numbers.
+#: Rows that a bucket of the matrix holds on average.
 ROWS_PER_BUCKET = 16
-MAX_BUCKETS = 65_536
+#: Buckets of the coarse matrix that comes first in larger tables; the list of its unequal ones, at most so many numbers, is broadcast.
+COARSE_BUCKETS = 65_536
 
 
-def _settled(field: T.StructField) -> Column:
+# Expressions over many columns are written as SQL text, which the JVM parses in one call each.
+
+
+def _settled(field: T.StructField) -> str:
     """The value in the form that is compared: arrays in sorted order."""
-    value = F.col(f"`{field.name}`")
-    return F.sort_array(value) if isinstance(field.dataType, T.ArrayType) else value
+    value = _quoted(field.name)
+    return f"sort_array({value})" if isinstance(field.dataType, T.ArrayType) else value
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _key(key: str) -> Column:
-    return F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\x00null"))
+    return F.coalesce(F.col(_quoted(key)).cast("string"), F.lit("\x00null"))
 
 
-def _hashed(df: DataFrame, key: str, fields: list[T.StructField], buckets: int) -> DataFrame:
-    """Per row: bucket, hash of the key, hash of the row, one 64-bit hash per field that also covers the key."""
-    k = _key(key)
-    hashes = [F.xxhash64(k, F.lit(i), F.col(f"`{f.name}`").isNull(), _settled(f)).alias(f"h{i}") for i, f in enumerate(fields)]
-    out = df.select(F.xxhash64(k).alias("kh"), F.xxhash64(k, F.lit(7)).alias("hk"), *hashes)
-    every = [F.col("hk"), *[F.col(f"h{i}") for i in range(len(fields))]]
-    return out.select(F.pmod("kh", F.lit(buckets)).alias("bucket"), "kh", F.xxhash64(*every).alias("rh"), *every)
+def _hashed(df: DataFrame, key: str, fields: list[T.StructField]) -> DataFrame:
+    """Per row: kh of the key, hk of the key anew, rh of the row, one 64-bit hash per field that also covers the key."""
+    names = {f.name: f"v{i}" for i, f in enumerate(fields)}
+    out = df.select(_key(key).alias("k"), *[F.expr(_settled(f)).alias(names[f.name]) for f in fields])
+    out = out.selectExpr("xxhash64(k) as kh", "xxhash64(k, 7) as hk", *[f"xxhash64(k, {i}, v{i} is null, v{i}) as h{i}" for i in range(len(fields))])
+    return out.selectExpr("*", f"xxhash64({', '.join(['hk', *[f'h{i}' for i in range(len(fields))]])}) as rh")
 
 
-def _matrix(df: DataFrame, key: str, fields: list[T.StructField], buckets: int, prefix: str, keep: Staged) -> DataFrame:
-    """Per bucket and field the sum of the upper 48 bits of the hashes, with exact repeats counted once.
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.col("kh"), F.lit(buckets)).alias("bucket")
+
+
+def _matrix(rows: DataFrame, names: list[str], buckets: int, prefix: str) -> DataFrame:
+    """Per bucket the weighted count and of each hash the exact 64-bit sum: its upper and its lower half apart, so that no sum overflows."""
+    halves = [(n, half) for n in names for half in ("h", "l")]
+    sums = [F.expr(f"sum(w * {f'shiftright({n}, 32)' if half == 'h' else f'({n} & 4294967295L)'})").alias(f"{prefix}{n}_{half}") for n, half in halves]
+    return rows.groupBy(_bucket(buckets)).agg(F.sum("w").alias(f"{prefix}n"), *sums)
 
-    Repeats are found on two 64-bit hashes a row; their surplus enters the sums
-    with negative weight, so they cost no bucket its equality.  A sum that
-    overflows is null, which equals nothing.
-    """
-    names = ["hk", *[f"h{i}" for i in range(len(fields))]]
-    rows = _hashed(df, key, fields, buckets)
-    surplus = keep(rows.groupBy("kh", "rh").agg((1 - F.count(F.lit(1))).alias("w")).where("w < 0"))  # its size then decides how it is joined
-    again = rows.join(surplus, ["kh", "rh"]).dropDuplicates(["kh", "rh"])
-    both = rows.withColumn("w", F.lit(1).cast("long")).unionByName(again)
-    sums = [F.try_sum(F.try_multiply("w", F.shiftright(n, 16))).alias(f"{prefix}{n}") for n in names]
-    return both.groupBy("bucket").agg(F.count(F.lit(1)).alias(f"{prefix}n"), *sums)
 
+def _union(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
-def table_diff(first: DataFrame, second: DataFrame, key: str, table_name: str, tolerance: float = 1e-6, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+
+def table_diff(first: DataFrame, second: DataFrame, key: str, table_name: str, tolerance: float = 1e-6, rows_per_bucket: int = ROWS_PER_BUCKET, coarse_buckets: int = COARSE_BUCKETS) -> DataFrame:
     """(table_name, row_key, field_name, diff_kind): what differs between two copies.
 
     A row of the first copy alone gives field ``*`` and ``only_first``, one of
@@ -61,55 +69,105 @@ def table_diff(first: DataFrame, second: DataFrame, key: str, table_name: str, t
     paired in the order of their values and unpaired ones are missing rows.  A
     null key is a key (row_key null).  Two empty copies give no rows.
 
-    Both copies become a matrix of additive hashes per key bucket and field.  In
-    buckets with an unequal cell, hashes of the unequal fields tell the keys that
-    differ; only their rows are read and joined, and of the fields only those
-    that are unequal in some bucket.
+    Both copies become a matrix of additive 64-bit hashes per key bucket and
+    field; in large tables a coarse matrix first tells which part the fine one
+    has to cover.  Where a bucket's key checksum differs its keys alone are read
+    to find the missing rows, and their hashes are taken off the matrix, so that
+    a missing row makes no field unequal.  Of each bucket only the unequal
+    fields are then compared; a field that is unequal in no bucket isn't read.
+    Keys with several different rows are compared whole, apart.
     """
-    spark = first.sparkSession
-    keep = Staged(spark, "diff")
+    keep = Staged(first.sparkSession, "diff")
     others = {f.name: f for f in second.schema}
     fields = [f for f in first.schema if f.name != key and f.name in others]
     names = ["hk", *[f"h{i}" for i in range(len(fields))]]
-    buckets = min(MAX_BUCKETS, max(16, max(first.count(), second.count()) // rows_per_bucket))
-    a = _matrix(first, key, fields, buckets, "a_", keep)
-    b = _matrix(second, key, [others[f.name] for f in fields], buckets, "b_", keep)
-    # equal only if neither side overflowed; a bucket without rows on a side has no cells
-    unlike = lambda n: ~F.coalesce(F.col(f"a_{n}") == F.col(f"b_{n}"), F.lit(False))
-    unequal = a.join(b, "bucket", "full").select("bucket", F.array_compact(F.array(*[F.when(unlike(n), F.lit(i - 1)) for i, n in enumerate(names)])).alias("cells"))
-    unequal = keep(unequal.where(F.size("cells") > 0))
-    at = sorted(r[0] for r in unequal.select(F.explode("cells")).distinct().collect() if r[0] >= 0)  # at most one number per column
-    needed = [fields[i] for i in at]
-    where = F.broadcast(unequal.select("bucket"))  # at most MAX_BUCKETS rows
-
-    def in_unequal(df: DataFrame) -> DataFrame:
-        kh = F.xxhash64(_key(key))
-        rows = df.select(F.pmod(kh, F.lit(buckets)).alias("bucket"), kh.alias("kh"), _key(key).alias("k"), *[_settled(f).alias(f"v{i}") for i, f in zip(at, needed)])
-        return rows.join(where, "bucket", "left_semi").drop("bucket")
-
-    def narrow(df: DataFrame, side: str) -> DataFrame:
-        values = [x for i in at for x in (F.col(f"v{i}").isNull(), F.col(f"v{i}"))]
-        return in_unequal(df).select("kh", F.xxhash64("k", *values).alias("rh"), F.lit(side == "x").alias("x"), F.lit(side == "y").alias("y"))
-
-    sides = narrow(first, "x").unionByName(narrow(second, "y")).groupBy("kh", "rh").agg(F.bool_or("x").alias("x"), F.bool_or("y").alias("y"))
-    differing = keep(sides.where("not (x and y)").select("kh").distinct())
-
-    def suspects(df: DataFrame, side: str) -> DataFrame:
-        rows = in_unequal(df).join(differing, "kh", "left_semi").select("k", *[F.col(f"v{i}").alias(f"{side}{i}") for i in at]).distinct()
-        order = [F.col(f"{side}{i}") for i in at] or [F.lit(1)]
-        return rows.withColumn("version", F.row_number().over(Window.partitionBy("k").orderBy(*order))).withColumn(f"in_{side}", F.lit(True))
-
-    def differs(field: T.StructField, i: int) -> Column:
-        x, y = F.col(f"x{i}"), F.col(f"y{i}")
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            near = x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False))
-            return ~near
-        return ~x.eqNullSafe(y)
-
-    pairs = suspects(first, "x").join(suspects(second, "y"), ["k", "version"], "full")
-    found = F.when(F.col("in_y").isNull(), F.array(F.struct(F.lit("*").alias("field_name"), F.lit("only_first").alias("diff_kind"))))
-    found = found.when(F.col("in_x").isNull(), F.array(F.struct(F.lit("*").alias("field_name"), F.lit("only_second").alias("diff_kind"))))
-    if needed:
-        found = found.otherwise(F.array_compact(F.array(*[F.when(differs(f, i), F.struct(F.lit(f.name).alias("field_name"), F.lit("value").alias("diff_kind"))) for i, f in zip(at, needed)])))
+    copies = {"a": (first, fields), "b": (second, [others[f.name] for f in fields])}
+    hashed = {s: _hashed(df, key, own) for s, (df, own) in copies.items()}
+    # keys that occur more than once are few in a sound table: with equal rows their surplus gets negative weight, with different rows they are set apart
+    often = {s: keep(h.groupBy("kh").agg(F.count(F.lit(1)).alias("n"), (F.min("rh") != F.max("rh")).alias("varied")).where("n > 1")) for s, h in hashed.items()}
+    varied = keep(_union(*[o.where("varied").select("kh") for o in often.values()]).distinct())
+    some_varied = not varied.isEmpty()
+    plain = lambda df: df.join(varied, "kh", "left_anti") if some_varied else df
+
+    def weighted(s: str) -> DataFrame:
+        again = hashed[s].join(often[s].where("not varied").select("kh", (1 - F.col("n")).alias("w")), "kh").dropDuplicates(["kh"])
+        return plain(hashed[s].withColumn("w", F.lit(1).cast("long")).unionByName(again))
+
+    rows = {s: weighted(s) for s in copies}
+    halves = ["n", *[f"{n}_{half}" for n in names for half in ("h", "l")]]
+    unlike = lambda *cells: f"not ({' and '.join(f'coalesce(a_{c}, 0) = coalesce(b_{c}, 0)' for c in cells)})"
+    within = None
+    size = max(df.count() for df, _ in copies.values())
+    buckets = max(16, size // rows_per_bucket)
+    if buckets > coarse_buckets:
+        both = _matrix(rows["a"], names, coarse_buckets, "a_").join(_matrix(rows["b"], names, coarse_buckets, "b_"), "bucket", "full")
+        within = keep(both.where(unlike(*halves)).select("bucket"))
+
+    def covered(df: DataFrame) -> DataFrame:
+        """The rows of the buckets that the coarse matrix found unequal."""
+        if within is None:
+            return df
+        return df.withColumn("bucket", _bucket(coarse_buckets)).join(F.broadcast(within), "bucket", "left_semi").drop("bucket")
+
+    matrix = {s: _matrix(covered(rows[s]), names, buckets, f"{s}_") for s in copies}
+    matrix = keep(matrix["a"].join(matrix["b"], "bucket", "full"))
+    torn = matrix.where(unlike("n", "hk_h", "hk_l")).select("bucket")
+
+    def keys(s: str) -> DataFrame:
+        df = copies[s][0].select(_key(key).alias("k")).withColumn("kh", F.xxhash64("k"))
+        return plain(df.withColumn("bucket", _bucket(buckets)).join(torn, "bucket", "left_semi").select("k", "kh").distinct())
+
+    missing = keys("a").withColumn("in_a", F.lit(True)).join(keys("b").withColumn("in_b", F.lit(True)), ["k", "kh"], "full").where("in_a is null or in_b is null")
+    missing = keep(missing.select("k", "kh", F.when(F.col("in_b").isNull(), "only_first").otherwise("only_second").alias("diff_kind")))
+    for s, kind in (("a", "only_first"), ("b", "only_second")):  # their hashes are taken off
+        gone = _matrix(rows[s].join(missing.where(F.col("diff_kind") == kind).select("kh"), "kh", "left_semi"), names, buckets, "m_")
+        other = [f"{x}_{c}" for x in copies if x != s for c in halves]
+        matrix = matrix.join(gone, "bucket", "left").selectExpr("bucket", *other, *[f"coalesce({s}_{c}, 0) - coalesce(m_{c}, 0) as {s}_{c}" for c in halves])
+    cells = ", ".join(f"case when {unlike(f'h{i}_h', f'h{i}_l')} then {i} end" for i in range(len(fields)))
+    unequal = matrix.selectExpr("bucket", f"array_compact(array({cells})) as cells")
+    unequal = keep(unequal.where(F.size("cells") > 0)) if fields else None
+    at = sorted(r[0] for r in unequal.select(F.explode("cells")).distinct().collect()) if fields else []  # at most one number per column
+
+    def compared(s: str) -> DataFrame:
+        """(kh, k, values of the unequal cells) of the rows in unequal buckets."""
+        df, own = copies[s]
+        out = df.select(_key(key).alias("k"), *[F.expr(_settled(own[i])).alias(f"v{i}") for i in at]).withColumn("kh", F.xxhash64("k"))
+        out = out.withColumn("bucket", _bucket(buckets)).join(unequal, "bucket").selectExpr("kh", "k", *[f"case when array_contains(cells, {i}) then v{i} end as v{i}" for i in at])
+        return plain(out).join(missing.select("kh"), "kh", "left_anti")
+
+    def digest(s: str) -> DataFrame:
+        values = ", ".join(f"v{i} is null, v{i}" for i in at)
+        return compared(s).selectExpr("kh", f"xxhash64(k, {values}) as rh", f"{s == 'a'} as x", f"{s == 'b'} as y")
+
+    def differs(i: int) -> str:
+        if isinstance(fields[i].dataType, (T.DoubleType, T.FloatType)):
+            return f"not (x{i} <=> y{i} or coalesce(abs(x{i} - y{i}) <= {tolerance!r}D, false))"
+        return f"not (x{i} <=> y{i})"
+
+    texts = lambda i: "'" + fields[i].name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    found_fields = lambda of: F.expr(f"array_compact(array({', '.join(f'case when {differs(i)} then {texts(i)} end' for i in of)}))")
+    found = [missing.select("k", F.lit("*").alias("field_name"), "diff_kind")]
+    if at:
+        digests = digest("a").unionByName(digest("b")).groupBy("kh", "rh").agg(F.bool_or("x").alias("x"), F.bool_or("y").alias("y"))
+        differing = keep(digests.where("not (x and y)").select("kh").distinct())
+        suspects = lambda s, as_: compared(s).join(differing, "kh", "left_semi").dropDuplicates(["k"]).selectExpr("k", *[f"v{i} as {as_}{i}" for i in at])
+        found.append(suspects("a", "x").join(suspects("b", "y"), "k").select("k", F.explode(found_fields(at)).alias("field_name"), F.lit("value").alias("diff_kind")))
+    if some_varied:
+        every = range(len(fields))
+
+        def versions(s: str, as_: str) -> DataFrame:
+            df, own = copies[s]
+            out = df.select(_key(key).alias("k"), *[F.expr(_settled(f)).alias(f"{as_}{i}") for i, f in enumerate(own)]).withColumn("kh", F.xxhash64("k"))
+            out = out.join(varied, "kh", "left_semi").drop("kh").distinct()
+            order = [F.col(f"{as_}{i}") for i in every] or [F.lit(1)]
+            return out.withColumn("version", F.row_number().over(Window.partitionBy("k").orderBy(*order))).withColumn(f"in_{as_}", F.lit(True))
+
+        pairs = versions("a", "x").join(versions("b", "y"), ["k", "version"], "full")
+        one = lambda name, kind: F.struct(F.lit(name).alias("field_name"), F.lit(kind).alias("diff_kind"))
+        kinds = F.when(F.col("in_y").isNull(), F.array(one("*", "only_first"))).when(F.col("in_x").isNull(), F.array(one("*", "only_second")))
+        if fields:
+            kinds = kinds.otherwise(F.transform(found_fields(every), lambda f: F.struct(f.alias("field_name"), F.lit("value").alias("diff_kind"))))
+        found.append(pairs.select("k", F.explode(kinds).alias("d")).select("k", "d.field_name", "d.diff_kind").distinct())
     row_key = F.when(F.col("k") != F.lit("\x00null"), F.col("k"))
-    return pairs.select(row_key.alias("row_key"), F.explode(found).alias("d")).select(F.lit(table_name).alias("table_name"), "row_key", "d.field_name", "d.diff_kind").distinct()
+    return _union(*found).select(F.lit(table_name).alias("table_name"), row_key.alias("row_key"), "field_name", "diff_kind")
+

@@ -89,6 +89,22 @@ def test_many_rows_against_brute_force(spark):
     got = {tuple(r)[1:] for r in table_diff(make(a).union(make(a).limit(100)), make(b), "id", "t").collect()}
     want = {(k, "*", "only_first") for k in a if k not in b} | {("new", "*", "only_second")} | {(k, "a", "value") for k in a if k in b and a[k][0] != b[k][0]}
     assert got == want
+    fine = table_diff(make(a), make(b), "id", "t", rows_per_bucket=2, coarse_buckets=32)  # with a coarse matrix first
+    assert {tuple(r)[1:] for r in fine.collect()} == want
+
+
+def test_one_changed_field_is_the_only_one_read(spark, tmp_path):
+    columns = "id string, a int, s string, t array<string>, u double"
+    one = [(str(i), i, f"s{i}", [f"t{i}", "x"], i / 7) for i in range(3000)]
+    two = [(k, a + (k == "77"), s, t[::-1], u) for k, a, s, t, u in one if k not in ("5", "2900")] + [("new", 1, "s", [], 0.0)]
+    paths = [str(tmp_path / n) for n in "xy"]
+    for data, path in zip((one, two), paths):
+        spark.createDataFrame(data, columns).write.parquet(path)
+    out = table_diff(*[spark.read.parquet(p) for p in paths], "id", "t")
+    assert {tuple(r)[1:] for r in out.collect()} == {("5", "*", "only_first"), ("2900", "*", "only_first"), ("new", "*", "only_second"), ("77", "a", "value")}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    reads = {line.partition("ReadSchema: ")[2].split(">")[0] for line in plan.splitlines() if "ReadSchema" in line and any(p in line for p in paths)}
+    assert reads == {"struct<id:string,a:int"}, reads  # missing rows widen nothing
 
 
 def test_orphans_equal_the_anti_join(spark):
