@@ -12,13 +12,14 @@ from talus.operators import rollups as R
 from talus.operators.audit import BOILERPLATE
 from talus.plans.audit_queries import _variance, budgets
 from talus.plans.ledger_queries import _unattributed
-from talus.plans.scored_queries import scored, verdicts
+from talus.plans.scored_queries import one_verdict, scored
 from talus.sources.ledger import ledger
-from talus.sources.sinks import upsert
-from talus.tables import table
+from talus.sources.sinks import exists, load_together
+from talus.tables import name_key, table
 
 VERDICTS = ("genuinely_anomalous", "benign", "needs_review", "insufficient_information")
 UNREVIEWED = "screened_unreviewed"
+VERDICT_TABLE = "vendor_verdicts.parquet"
 
 
 class ReadOnlyError(RuntimeError):
@@ -74,7 +75,7 @@ class LedgerApi:
         return self._table("entity_crosswalk").where((F.col("parent_key") == parent) & (F.col("entity_key") != parent)).distinct()
 
     def leads(self, tier: int = 1, status: str | None = None, agency: str | None = None, min_amount: float = 0, limit: int = 50) -> DataFrame:
-        rows = scored(self.spark, self.folder).join(verdicts(self.spark, self.folder), "entity_key", "left").withColumn("status", F.coalesce("verdict", F.lit(UNREVIEWED)))
+        rows = scored(self.spark, self.folder).join(one_verdict(self._verdicts()), "entity_key", "left").withColumn("status", F.coalesce("verdict", F.lit(UNREVIEWED)))
         keep = (F.col("tier") == tier) & (F.col("amount") >= min_amount)
         if status:
             keep = keep & (F.col("status") == status)
@@ -198,25 +199,34 @@ class LedgerApi:
     def verdicts_pending(self, tier: int = 1, limit: int = 50) -> DataFrame:
         """Entities with payments of a tier and no verdict, also where a verdict row has none."""
         rows = self._table("tier_entities").where(F.col(f"n_tier{clamp(tier, 2)}") > 0).withColumn("k", X.entity_key(F.col("entity_key")))
-        known = verdicts(self.spark, self.folder).select(F.col("entity_key").alias("k"), "verdict")
+        known = one_verdict(self._verdicts()).select(F.col("entity_key").alias("k"), "verdict")
         return rows.join(known, "k", "left").where("verdict is null").orderBy(F.desc_nulls_last("usd_tier1"), "entity_key").limit(clamp(limit, 200)).drop("k", "verdict")
 
     def set_verdict(self, key: str, verdict: str, interest: int = 0, context: str | None = None) -> DataFrame:
-        """The verdicts with one more or one replaced, written below the writable folder."""
+        """The verdicts with one more, or in place of all rows of the same name key however spelt, written below the writable folder.
+
+        Later calls and reads of this API go on from there.  The table is replaced
+        whole, and a failure leaves the one before.
+        """
         if self.writable is None:
             raise ReadOnlyError("this API was opened without a folder to write to")
         if verdict not in VERDICTS:
             raise ValueError(f"a verdict is one of {', '.join(VERDICTS)}")
-        old = self._table("vendor_verdicts")
-        new = self.spark.createDataFrame([(X.normalize_entity_key(key), verdict, interest, context)], "entity_key string, verdict string, overtaker_interest int, public_context string")
+        old, name = self._verdicts(), X.normalize_entity_key(key)
+        new = self.spark.createDataFrame([(name, verdict, interest, context)], "entity_key string, verdict string, overtaker_interest int, public_context string")
         new = new.withColumn("recommended_action", F.lit(None).cast("string")).withColumn("reviewed_at", F.current_timestamp().cast(old.schema["reviewed_at"].dataType))
-        out = upsert(old, new, "entity_key")
-        out.write.mode("overwrite").parquet(f"{self.writable}/vendor_verdicts.parquet")
-        return out
+        kept = old.where(F.coalesce(name_key(F.col("entity_key")) != name, F.lit(True)))
+        load_together(self.spark, {VERDICT_TABLE: kept.unionByName(new.select(*old.columns))}, self.writable)
+        return self._verdicts()
+
+    def _verdicts(self) -> DataFrame:
+        """The verdict rows: those below the writable folder once there are any, else those of the data folder."""
+        own = self.writable is not None and exists(self.spark, f"{self.writable}/{VERDICT_TABLE}")
+        return self.spark.read.parquet(f"{self.writable}/{VERDICT_TABLE}") if own else self._table("vendor_verdicts")
 
     def with_verdicts(self) -> DataFrame:
         """The scored payments with the status that travels with each."""
-        rows = scored(self.spark, self.folder).join(verdicts(self.spark, self.folder), "entity_key", "left")
+        rows = scored(self.spark, self.folder).join(one_verdict(self._verdicts()), "entity_key", "left")
         return rows.withColumn("status", F.coalesce("verdict", F.lit(UNREVIEWED))).drop("verdict", "interest")
 
 

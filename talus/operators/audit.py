@@ -9,9 +9,9 @@ from talus.functions.cleaning import sorted_word_key
 from talus.operators.rollups import money
 
 # Words of agency names that tell no agency apart.
-BOILERPLATE = ["DEPT", "DEPARTMENT", "OF", "THE", "STATE", "AND", "BOARD", "COMMISSION", "OFFICE", "ON", "FOR"]
+BOILERPLATE = ["STATE", "OF", "THE", "AND", "FOR", "OFFICE", "DEPARTMENT", "DEPT", "BOARD", "COMMISSION", "DIVISION"]
 # More words, in forms that people type, that tell no agency apart.
-TYPED_BOILERPLATE = [*BOILERPLATE, "DIVISION", "BUREAU", "DIV", "DPT", "DEPART", "BD", "BRD", "OFC", "OFF", "COMM", "COMN", "CMSN"]
+TYPED_BOILERPLATE = [*BOILERPLATE, "ON", "BUREAU", "DIV", "DPT", "DEPART", "BD", "BRD", "OFC", "OFF", "COMM", "COMN", "CMSN"]
 # Words that make a sentence with an amount one about cost.
 COST_WORDS = r"\b(spent|paid|payments|appropriated|difference|amount|totaling)\b"
 SPACE = "[ \t\n\r\f]"

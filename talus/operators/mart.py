@@ -47,8 +47,8 @@ def duplicate_signatures(clean: DataFrame) -> DataFrame:
 
 
 def true_duplicates(clean: DataFrame, days: tuple[int, int]) -> DataFrame:
-    """Vendor, agency and amount paid again under another reference and id within the days."""
-    out = clean.where("vid is not null").groupBy("vid", "agency", "amount").agg(F.countDistinct("ref").alias("n_refs"), F.countDistinct("txn").alias("n_txns"), F.datediff(F.max("posting_date"), F.min("posting_date")).alias("day_span"))
+    """Vendor and amount paid under several references and transaction ids within the days."""
+    out = clean.where("vid is not null and ref is not null").groupBy("vid", "amount").agg(F.countDistinct("ref").alias("n_refs"), F.countDistinct("txn").alias("n_txns"), F.datediff(F.max("posting_date"), F.min("posting_date")).alias("day_span"))
     return out.where((F.col("n_refs") >= 2) & (F.col("n_txns") >= 2) & F.col("day_span").between(*days))
 
 

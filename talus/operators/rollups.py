@@ -32,7 +32,8 @@ def spend_summary(ledger: DataFrame) -> DataFrame:
 def spend_breakdown(rows: DataFrame, by: str, amount: str, n: Column) -> DataFrame:
     """Spend per value of ``by`` with its share of all; works on the ledger and on its rollup."""
     out = rows.groupBy(by).agg(F.sum(amount).alias("_s"), n.alias("n_txns"))
-    share = F.round(100 * F.col("_s").cast("double") / F.nullif(F.sum("_s").over(Window.partitionBy()).cast("double"), F.lit(0.0)), 4)
+    out = out.crossJoin(F.broadcast(out.agg(F.sum("_s").alias("_all"))))  # one row of the total
+    share = F.round(100 * F.col("_s").cast("double") / F.nullif(F.col("_all").cast("double"), F.lit(0.0)), 4)
     return out.select(by, "n_txns", money("_s", "total_usd"), share.alias("pct"))
 
 

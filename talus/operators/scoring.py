@@ -8,6 +8,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.functions import cleaning as X
+from talus.operators.mart import MartConfig, contract_rate, payee_profile, true_duplicates
+
 
 @dataclass(frozen=True)
 class Marker:
@@ -25,6 +28,7 @@ class ScoreConfig:
 
     markers: tuple[Marker, ...]
     multipliers: dict[str, Decimal] = field(default_factory=dict)
+    # Bounds and names of magnitude classes, bands and tiers.
     least_amount: int = 100_000
     high_amount: int = 1_000_000
     bands: tuple[int, ...] = (0, 3, 6, 10)
@@ -35,27 +39,38 @@ class ScoreConfig:
         return list(dict.fromkeys(m.family for m in self.markers))
 
 
-#: A neutral model over the mart: amounts, repeats, concentration, newness, period, peers, contracts, rails and payees.
+#: A model of our own, an example to be replaced by the user's: what is odd about the amount, its repetition, its share,
+#: its time, its distance from peers and its record.  It needs the columns of ``with_history``.
 DEFAULT = ScoreConfig(
     markers=(
-        Marker("round_1m", "round", 5, "is_round_1000000"),
-        Marker("round_100k", "round", 4, "is_round_100000 AND NOT is_round_1000000"),
-        Marker("whole_dollar", "round", 3, "is_whole_dollar AND NOT is_round_10000"),
-        Marker("repeated", "dup", 4, "in_dup_signature AND vid IS NOT NULL"),
-        Marker("concentrated", "conc", 4, "vendor_share_of_agency_year >= 0.2"),
-        Marker("dependent", "conc", 2, "vendor_share_of_agency_year >= 0.33"),
-        Marker("new_vendor", "newvendor", 3, "vendor_first_appearance AND fiscal_year > 2016"),
-        Marker("thirteenth_period", "yearend", 4, "fp_canon = 13"),
-        Marker("peer_outlier", "peer", 4, "robust_z_in_agencycat >= 20"),
-        Marker("no_contract", "account", 2, "contract IS NULL AND vid IS NOT NULL"),
-        Marker("manual_rail", "rail", 3, "rail IN ('INTERNAL', 'JOURNAL VOUCHER')"),
-        Marker("no_rail", "rail", 2, "rail IS NULL"),
-        Marker("hidden_payee", "entity", 3, "payee IS NULL OR payee IN ('CONFIDENTIAL PAYEE', 'NAME WITHHELD')"),
+        Marker("million_multiple", "amount", 2, "is_round_1000000"),
+        Marker("whole_amount", "amount", 1, "is_whole_dollar"),
+        Marker("paid_again", "repetition", 3, "is_paid_again"),
+        Marker("same_reference", "repetition", 2, "in_dup_signature"),
+        Marker("half_of_the_year", "share", 3, "vendor_share_of_agency_year >= 0.5"),
+        Marker("tenth_of_the_year", "share", 1, "vendor_share_of_agency_year >= 0.1"),
+        Marker("after_closing", "time", 2, "fp_canon > 12"),
+        Marker("name_is_new", "time", 1, "payee_first_year = fiscal_year"),
+        Marker("far_above_peers", "peers", 2, "robust_z_in_agencycat >= 10"),
+        Marker("contract_missing", "record", 2, "contract IS NULL AND contract_rate >= 0.5"),
+        Marker("payee_missing", "record", 1, "payee IS NULL"),
     ),
-    multipliers={"OUTSIDE SERVICES": Decimal("1.5"), "BUILDINGS": Decimal("1.4"), "STAFF COSTS": Decimal("0.5"), "INTERFUND MOVES": Decimal("0.4")},
 )
 
 
+def with_history(mart: DataFrame, clean: DataFrame, config: MartConfig = MartConfig()) -> DataFrame:
+    """The mart with what other payments say of each: ``is_paid_again`` (vendor and amount paid under several references within days),
+    ``payee_first_year`` and ``contract_rate`` of the agency's year; false or null where there is nothing.
+
+    Three left joins on group keys, so no payment is lost or doubled.
+    """
+    again = true_duplicates(clean, config.duplicate_days).select("vid", "amount", F.lit(True).alias("_again"))
+    payees = payee_profile(clean).select("entity_key", F.col("first_fy").alias("payee_first_year"))
+    rows = mart.withColumn("entity_key", X.entity_key(F.col("payee")))
+    rows = rows.join(again, ["vid", "amount"], "left").join(payees, "entity_key", "left").join(contract_rate(clean), ["agency", "fiscal_year"], "left")
+    return rows.withColumn("is_paid_again", F.coalesce("_again", F.lit(False))).drop("_again", "entity_key")
+
+
 def score(mart: DataFrame, config: ScoreConfig = DEFAULT) -> DataFrame:
     """Adds f_<family>, marker_sum, category_multiplier, risk_score, fired_markers, n_markers, mag_class, risk_band and tier.
 
@@ -92,7 +107,7 @@ def score(mart: DataFrame, config: ScoreConfig = DEFAULT) -> DataFrame:
 def score_sql(mart: str, config: ScoreConfig = DEFAULT) -> str:
     """The same model as one SQL statement over the relation ``mart``."""
     fams = {f: "greatest(" + ", ".join(f"CASE WHEN {m.predicate} THEN {m.score} ELSE 0 END" for m in config.markers if m.family == f) + ", 0)" for f in config.families}
-    factor = "CASE category1 " + " ".join(f"WHEN '{c}' THEN CAST({m} AS DECIMAL(4,2))" for c, m in config.multipliers.items()) + " ELSE CAST(1.0 AS DECIMAL(4,2)) END"
+    factor = "CASE " + " ".join(f"WHEN category1 = '{c}' THEN CAST({m} AS DECIMAL(4,2))" for c, m in config.multipliers.items()) + " WHEN true THEN CAST(1.0 AS DECIMAL(4,2)) END"
     fired = "list_filter([" + ", ".join(f"CASE WHEN {m.predicate} THEN '{m.label}' END" for m in config.markers) + "], lambda x: x IS NOT NULL)"
     inner = f"SELECT *, {', '.join(f'{e} AS f_{f}' for f, e in fams.items())}, {factor} AS category_multiplier, {fired} AS fired_markers FROM {mart} WHERE amount >= {config.least_amount}"
     total = " + ".join(f"f_{f}" for f in fams)

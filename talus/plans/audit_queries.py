@@ -246,13 +246,19 @@ _SCORE_COLUMNS = ["record_number", "txn", *[f"f_{f}" for f in C.DEFAULT.families
 
 
 def _scores(s: SparkSession, d: str) -> DataFrame:
-    out = C.score(M.feature_mart(expenditure(s, d)))
+    clean = expenditure(s, d)
+    out = C.score(C.with_history(M.feature_mart(clean), clean))
     return out.select(*_SCORE_COLUMNS, F.col("risk_score").cast("double").alias("risk_score"), F.array_join("fired_markers", "|").alias("fired_markers"))
 
 
 _extra = ", c.amount >= 100000 AND c.amount % 100000 = 0 AS is_round_100000, c.amount >= 1000000 AND c.amount % 1000000 = 0 AS is_round_1000000, TRY_CAST(split_part(coalesce(c.period, ''), '.', 1) AS INTEGER) AS fp_canon, c.contract, c.rail, c.payee, c.category1"
 _mart_head, _mart_body = L.SQL["feature_mart"].rsplit("SELECT c.record_number", 1)
 _with_extra = "SELECT c.record_number" + _mart_body.replace("CAST(c.amount AS DOUBLE) AS amount\n", f"c.amount AS amount{_extra}\n")
+_PAYEE_KEY = r"nullif(upper(trim(regexp_replace({c}, '\s+', ' ', 'g'))), '')"
+_with_extra = f"""SELECT m.*, again.vid IS NOT NULL AS is_paid_again, p.payee_first_year, r.contract_rate FROM ({_with_extra}) m
+    LEFT JOIN (SELECT vid, amount FROM clean WHERE vid IS NOT NULL AND ref IS NOT NULL GROUP BY ALL HAVING count(DISTINCT ref) >= 2 AND count(DISTINCT txn) >= 2 AND max(posting_date) - min(posting_date) BETWEEN 1 AND 90) again ON again.vid = m.vid AND again.amount = m.amount
+    LEFT JOIN (SELECT {_PAYEE_KEY.format(c='payee')} AS k, min(fiscal_year) AS payee_first_year FROM clean WHERE payee IS NOT NULL GROUP BY 1) p ON p.k = {_PAYEE_KEY.format(c='m.payee')}
+    LEFT JOIN (SELECT agency, fiscal_year, count(contract)::DOUBLE / count(*) AS contract_rate FROM clean GROUP BY ALL) r ON r.agency = m.agency AND r.fiscal_year = m.fiscal_year"""
 _add(
     "score_payments",
     _scores,

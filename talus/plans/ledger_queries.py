@@ -124,7 +124,7 @@ _on_clean(
 _on_clean(
     "mart_true_duplicates",
     lambda x: M.true_duplicates(x, (1, 90)).withColumn("amount", F.col("amount").cast("double")).withColumn("day_span", F.col("day_span").cast("long")),
-    "SELECT vid, agency, CAST(amount AS DOUBLE) AS amount, count(DISTINCT ref) AS n_refs, count(DISTINCT txn) AS n_txns, max(posting_date) - min(posting_date) AS day_span FROM clean WHERE vid IS NOT NULL GROUP BY vid, agency, clean.amount"
+    "SELECT vid, CAST(amount AS DOUBLE) AS amount, count(DISTINCT ref) AS n_refs, count(DISTINCT txn) AS n_txns, max(posting_date) - min(posting_date) AS day_span FROM clean WHERE vid IS NOT NULL AND ref IS NOT NULL GROUP BY vid, clean.amount"
     " HAVING count(DISTINCT ref) >= 2 AND count(DISTINCT txn) >= 2 AND max(posting_date) - min(posting_date) BETWEEN 1 AND 90",
 )
 _PEERS = f"SELECT agency, category1, count(*) AS ac_n, median(CAST(amount AS DOUBLE)) AS ac_median, quantile_cont(CAST(amount AS DOUBLE), 0.25) AS ac_q1, quantile_cont(CAST(amount AS DOUBLE), 0.75) AS ac_q3 FROM clean WHERE amount >= {_FLOOR} GROUP BY ALL"

@@ -140,8 +140,12 @@ _VERDICT = f"v AS (SELECT {_KEY.format(c='entity_key')} AS entity_key, max(lower
 
 
 def verdicts(s: SparkSession, d: str) -> DataFrame:
+    return one_verdict(table(s, d, "vendor_verdicts"))
+
+
+def one_verdict(rows: DataFrame) -> DataFrame:
     """One verdict per name key: the spellings of a key are collapsed."""
-    rows = table(s, d, "vendor_verdicts").withColumn("entity_key", X.entity_key(F.col("entity_key"))).where("entity_key is not null")
+    rows = rows.withColumn("entity_key", X.entity_key(F.col("entity_key"))).where("entity_key is not null")
     return rows.groupBy("entity_key").agg(F.max(F.lower(F.trim("verdict"))).alias("verdict"), F.max("overtaker_interest").alias("interest"))
 
 

@@ -60,14 +60,32 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def load_together(spark: SparkSession, tables: dict[str, DataFrame], folder: str, checks: Callable[[str, DataFrame], bool] | None = None) -> dict[str, int]:
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _fs(spark, path)
+    return fs.exists(at)
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    at, fs = _fs(spark, source)
+    to = _fs(spark, target)[0]
+    fs.mkdirs(to.getParent())
+    if not fs.rename(at, to):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def load_together(spark: SparkSession, tables: dict[str, DataFrame], folder: str, checks: Callable[[str, DataFrame], bool] | None = None, move: Callable[[SparkSession, str, str], None] = _move) -> dict[str, int]:
     """Write several tables below ``folder`` so that either all of them are replaced or none.
 
-    All are written and counted in a staging folder first; only then are the old
-    folders renamed away and the new ones put in their place.
+    All are written, counted and checked in a staging folder first, so a table
+    may be made from the one that it replaces.  Then the old folders are moved
+    aside and the new ones into their place; if a move fails, those done are
+    undone in reverse.  The old tables are deleted only when all new ones are in
+    place; if even undoing fails they stay in the folder that the error names.
     """
-    stage = f"{folder}/.load-{uuid.uuid4().hex}"
-    counts = {}
+    mark = uuid.uuid4().hex
+    stage, aside = f"{folder}/.load-{mark}", f"{folder}/.replaced-{mark}"
+    counts: dict[str, int] = {}
+    moved: list[tuple[str, str]] = []
     try:
         for name, df in tables.items():
             df.write.option("compression", "zstd").parquet(f"{stage}/{name}")
@@ -75,11 +93,24 @@ def load_together(spark: SparkSession, tables: dict[str, DataFrame], folder: str
             counts[name] = written.count()
             if checks and not checks(name, written):
                 raise ValueError(f"the check of {name} failed; nothing was replaced")
-        for name in tables:
-            target, fs = _fs(spark, f"{folder}/{name}")
-            if fs.exists(target):
-                fs.rename(target, _fs(spark, f"{stage}/{name}.old")[0])
-            fs.rename(_fs(spark, f"{stage}/{name}")[0], target)
+        try:
+            for name in tables:
+                target, fs = _fs(spark, f"{folder}/{name}")
+                steps = [(f"{folder}/{name}", f"{aside}/{name}")] if fs.exists(target) else []
+                for step in [*steps, (f"{stage}/{name}", f"{folder}/{name}")]:
+                    move(spark, *step)
+                    moved.append(step)
+        except BaseException as e:
+            try:
+                for source, target in reversed(moved):
+                    _move(spark, target, source)
+            except BaseException as worse:
+                raise OSError(f"the tables replaced so far are in {aside}") from worse
+            path, fs = _fs(spark, aside)
+            fs.delete(path, True)  # empty: all are back in their place
+            raise e
+        path, fs = _fs(spark, aside)
+        fs.delete(path, True)
     finally:
         path, fs = _fs(spark, stage)
         fs.delete(path, True)
