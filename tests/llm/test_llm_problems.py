@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from talus.llm import names, quality
 from talus.llm.components import connected_groups
-from talus.llm.mapping import map_values
+from talus.llm.mapping import GramIndex, map_values
 from talus.llm.packing import pack
 from talus.llm.tokens import decode_ids, encode_texts, encoder, vocabulary
 from talus.llm.topn import double_code, top_n
+from talus.staging import Staged
 from talus.llm.variants import errors_allowed, name_groups, probes, segments, variant_pairs
 
 
@@ -139,17 +140,52 @@ def test_packing_nothing(spark):
 
 
 AGENCIES = [(1, "DEPT OF ROADS AND BRIDGES", "DRB"), (2, "BOARD OF TAX APPEALS", "BTA"), (3, "OFFICE OF STATE AUDITS", "OSA"), (4, "LAKESTOUBY COMMUNITY COLLEGE", "LACC"), (5, "DEPT OF WATER SAFETY", "DWSY")]
+FRONTS, BACKS = ["", "Zumbria ", "The ", "Ministry: "], ["", " - Depot Team", " (draft)", ", follow-up"]
 
 
 def test_typed_values_map_to_the_list(spark):
-    cases = {
-        "Corvane Dept. of Roads & Bridges: Central Warehouse": 1, "Roads/Bridges, Dpt of": 1, "D.R.B.": 1, " drb ": 1, "Tax Appeals (Bd.) [draft]": 2, "B0ard of Tax Appaels": 2, "State Audits, Ofc. of": 3, "Lakestouby C.C.": 4,
-        "City of Lakestouby": -1, "Department of Clock Repair": -1, "Various": -1, "x" * 50_000: -1, "The\xa0Water\tSafety Department FY2020": 5, "--": -1,
+    # what a home state, kinds of bodies, units and remarks are called is learned from the other values
+    learned = {f"{f}{' '.join(n.title().split()[::-1])}{b}": i for i, n, _ in AGENCIES for f in FRONTS for b in BACKS}
+    cases = learned | {
+        "Zumbria Dept. of Raods & Bridges: Depot Team": 1, "Roads/Bridges, the": 1, "D.R.B.": 1, " drb ": 1, "Tax Appeals [draft]": 2, "B0ard of Tax Appaels": 2, "State Audits, Ofc. of": 3, "Lakestóuby College": 4,
+        "Guild of Clock Menders": -1, "Various": -1, "x" * 50_000: -1, "The\xa0Water\tSafety Ministry": 5, "--": -1, "Depot Team": -1,
     }
     df = spark.createDataFrame([(v, "own", 7) for v in cases] * 2 + [(None, "own", 7), ("", "own", 7), (" \t", "own", 7)], "typed string, short string, score int")
-    entries = spark.createDataFrame(AGENCIES, "agency_id int, name string, short string")
+    entries = spark.createDataFrame(AGENCIES + AGENCIES[:1] + [(None, "NOBODY", None), (9, None, None)], "agency_id int, name string, short string")
     got = map_values(df, "typed", entries, "agency_id", "name", "short").collect()
     assert {r.typed: r.agency_id for r in got} == cases and len(got) == 2 * len(cases) and {r.short for r in got} == {"own"}
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_pruned_postings_lose_no_entry(spark, tmp_path):
+    import math
+
+    random.seed(11)
+    word = lambda: "".join(random.choice("ABCDE") for _ in range(random.randint(2, 6)))
+    entries = [(i, " ".join(word() for _ in range(random.randint(1, 4)))) for i in range(120)]
+    keys = sorted({" ".join(word() for _ in range(random.randint(1, 5))) for _ in range(150)} | {" ".join(n.split() + [word()]) for _, n in entries[:60]})
+    index = GramIndex(spark.createDataFrame(entries, "id int, name string"), "id", ["name"], Staged(spark, "test"))
+
+    def grams(key):
+        return Counter(f"^{w}$"[i : i + 3] for w in key.split() for i in range(len(w)))
+
+    names = {tuple(sorted(n.split())) for _, n in entries}
+    found_in = Counter(g for n in names for g in grams(" ".join(n)))
+    weigh = lambda g: math.log(1 + len(names) / found_in[g]) if g in found_in else math.log(1 + 2 * len(names))
+    vector = lambda key: {g: n * weigh(g) for g, n in grams(key).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    cosine = lambda a, b: sum(x * b.get(g, 0) for g, x in a.items()) / norm(a) / norm(b)
+    vectors = {i: vector(n) for i, n in entries}
+    for broadcast in (True, False):
+        index.is_small = broadcast
+        got = {r.key: (r.score, r.margin) for r in index.best(spark.createDataFrame([(k,) for k in keys], "key string"), 0.4).collect()}
+        for k in keys:
+            scores = sorted((cosine(vector(k), v) for v in vectors.values()), reverse=True)
+            if scores[0] < 0.4 - 1e-6:
+                assert k not in got
+            elif scores[0] > 0.4 + 1e-6:
+                second = scores[1] if scores[1] >= 0.4 else 0.4
+                assert abs(got[k][0] - scores[0]) < 1e-9 and abs(got[k][1] - (scores[0] - second)) < 1e-5
 
 
 def test_typed_values_without_a_list_or_values(spark):
