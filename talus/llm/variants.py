@@ -9,24 +9,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.llm.components import connected_groups
-from talus.llm.names import parse
+from talus.llm.names import Lexicon, evidence, lexicon_of
 from talus.staging import Staged
 
 _PARSED = "key string, kind string, canon string, forms array<string>, attr string, cands array<string>, num string, legal string"
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: A phrase or given name belongs to the lexicon if at least LEAST distinct names show it, and this share of them.
+LEAST, SHARE = 5, 0.002
+
+
+def _evidence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [x for key in batch.column(0).to_pylist() for x in evidence(key)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["kind", "words"])
+
+
+def learned_lexicon(keys: DataFrame) -> Lexicon:
+    """Trades and given names in use among distinct name keys: words that many names share, of which there are at most some thousand."""
+    least = max(LEAST, int(SHARE * keys.count()))
+    counts = keys.mapInArrow(_evidence_batches, "kind string, words string").groupBy("kind", "words").agg(F.count(F.lit(1)).alias("n"))
+    return lexicon_of({(r.kind, r.words): r.n for r in counts.where(F.col("n") >= least).collect()})
+
+
+def _parse_batches(lexicon: Lexicon):
     names = ["key", "kind", "canon", "forms", "attr", "cands", "num", "legal"]
     kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
-    for batch in batches:
-        rows = []
-        for key in batch.column(0).to_pylist():
-            p = parse(key)
-            if p:
-                forms = sorted({p["core"], p["other"]} - {""})
-                rows.append((key, p["kind"], forms[0], forms, p["attr"], p["cands"], p["num"], p["legal"]))
-        columns = list(zip(*rows)) or [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                p = lexicon.parse(key)
+                if p:
+                    forms = sorted({p["core"], p["other"]} - {""})
+                    rows.append((key, p["kind"], forms[0], forms, p["attr"], p["cands"], p["num"], p["legal"]))
+            columns = list(zip(*rows)) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+
+    return run
 
 
 def errors_allowed(kind: str, length: int) -> int:
@@ -112,11 +133,13 @@ def segment_join(probing: DataFrame, indexed: DataFrame | None = None, both_ways
     return found.groupBy("a", "b").agg(F.min("gap").alias("gap"))
 
 
-def name_groups(keys: DataFrame, column: str) -> DataFrame:
+def name_groups(keys: DataFrame, column: str, lexicon: Lexicon | None = None) -> DataFrame:
     """(key, group_id) of every name key that names somebody: keys of one payee have one group.
 
     A key is taken apart into the name itself and what tells namesakes apart:
     the trade of a firm, the number of a district, the given name of a person.
+    Which words are trades and given names is learned from all keys unless a
+    ``lexicon`` is given: words that many names share.
     Keys that say all of it are linked when that agrees and a segment join finds
     their names within one to three edits, in either order of the words.  A key
     that leaves the trade out or clips it, or has only initials, is linked to the
@@ -126,8 +149,10 @@ def name_groups(keys: DataFrame, column: str) -> DataFrame:
     keys have no row; repeated keys count once; an empty input gives no rows.
     """
     keep = Staged(keys.sparkSession, "names")
-    distinct = keys.select(F.col(column).alias("key")).where("key is not null").distinct()
-    parsed = keep(distinct.mapInArrow(_parse_batches, _PARSED))
+    distinct = keep(keys.select(F.col(f"`{column}`").alias("key")).where("key is not null").distinct())
+    lexicon = lexicon or learned_lexicon(distinct)
+    spread = distinct.repartition(keys.sparkSession.sparkContext.defaultParallelism, "key")  # little data, much work
+    parsed = keep(spread.mapInArrow(_parse_batches(lexicon), _PARSED))
     sure = F.col("attr") != ""
     firm_num = F.when(F.col("kind") == "firm", F.col("num")).otherwise(F.lit(""))
     node = F.when(sure, F.concat_ws("|", "kind", "canon", "attr", firm_num)).otherwise(F.concat_ws("|", "kind", "canon", F.lit("?"), F.concat_ws("/", "cands"), "num", "legal"))
@@ -138,10 +163,8 @@ def name_groups(keys: DataFrame, column: str) -> DataFrame:
     full, part = nodes.where("attr != ''"), nodes.where("attr = ''")
     whole = segment_join(full.withColumn("block", F.concat_ws("|", "kind", "attr", "fnum"))).select("a", "b")
     loose = F.concat_ws("|", "kind", "fnum")
-    # equal names have no edit to find: they are joined as they are; others by segments
     wanting, known = part.withColumn("block", loose), full.withColumn("block", loose)
     near = segment_join(wanting, known, both_ways=True)
-    near = near.unionByName(wanting.select(F.col("node").alias("a"), "kind", "fnum", "canon").join(known.select(F.col("node").alias("b"), "kind", "fnum", "canon"), ["kind", "fnum", "canon"]).select("a", "b", F.lit(0).alias("gap")))
     x = part.select(F.col("node").alias("a"), "kind", "cands", "num", "legals")
     y = full.select(F.col("node").alias("b"), F.col("attr"), F.col("legals").alias("b_legals"), F.col("nums").alias("b_nums"))
     cases = near.groupBy("a", "b").agg(F.min("gap").alias("gap")).join(x, "a").join(y, "b")
@@ -156,7 +179,7 @@ def name_groups(keys: DataFrame, column: str) -> DataFrame:
     chosen = keep(chosen.select("a", F.when(F.col("n") == 1, F.col("nearest.b")).when(F.col("n_sign") == 1, F.col("signed.b")).alias("b")))
     alone = keep(wanting.join(chosen.select(F.col("a").alias("node")), "node", "left_anti"))
     between = segment_join(alone)
-    between = between.select("a", "b").unionByName(alone.select(F.col("node").alias("a"), "kind", "fnum", "canon").join(alone.select(F.col("node").alias("b"), "kind", "fnum", "canon"), ["kind", "fnum", "canon"]).where("a < b").select("a", "b"))
+    between = between.select("a", "b")
     one = alone.select(F.col("node").alias("a"), F.col("cands").alias("c1"), F.col("num").alias("m1"))
     two = alone.select(F.col("node").alias("b"), F.col("cands").alias("c2"), F.col("num").alias("m2"))
     agree = (F.col("c1") == F.col("c2")) | F.arrays_overlap("c1", "c2") | (F.size("c1") == 0) | (F.size("c2") == 0)

@@ -14,7 +14,7 @@ from talus.llm.packing import pack
 from talus.llm.tokens import decode_ids, encode_texts, encoder, vocabulary
 from talus.llm.topn import double_code, top_n
 from talus.staging import Staged
-from talus.llm.variants import errors_allowed, name_groups, probes, segments, variant_pairs
+from talus.llm.variants import errors_allowed, learned_lexicon, name_groups, probes, segments, variant_pairs
 
 
 def brute_groups(pairs):
@@ -227,10 +227,41 @@ def test_spellings_are_linked(spark):
     ]
     keys = [k for g in groups for k in g]
     df = spark.createDataFrame([(k, 1) for k in keys * 2 + ["UNKNOWN", "", "NULL", "x" * 20_000, "?!", None]], "key string, node int")
-    got = {tuple(r) for r in variant_pairs(name_groups(df, "key")).collect()}
+    known = names.Lexicon(["ROOFING", "DENTAL GROUP", "FIRE DISTRICT"], ["MARGARET", "JAMES"])
+    got = {tuple(r) for r in variant_pairs(name_groups(df, "key", known)).collect()}
     assert got == {(a, b) for g in groups for a in g for b in g if a.encode() < b.encode()}
 
 
+def test_trades_and_given_names_are_learned(spark):
+    """Trades and given names that no list of the package has, each used by several names; most pairs differ in the name itself."""
+    random.seed(12)
+    syllables = ["BRU", "KEM", "TAL", "VOSH", "RIN", "DAX", "MUL", "FEP", "GOR", "LIT", "SNA", "WOB"]
+    make = lambda n: "".join(random.choice(syllables) for _ in range(n))
+    trades, given, groups = ["KITE REPAIR", "GLASS BLOWING", "MAP DRAWING", "BEEKEEPING"], ["ODALYS", "WENCESLAS", "THORBEN"], []
+
+    def typo(word):
+        i = random.randint(1, len(word) - 2)
+        return word[:i] + random.choice(["", "X", word[i] * 2]) + word[i + 1 :]
+
+    for _ in range(60):
+        a, b, trade = make(3), make(4), random.choice(trades)
+        groups.append([f"{a} {b} {trade}", f"THE {a} & {b} {trade} LLC", f"{trade}, {b} {a}", f"{typo(a)} {b} {trade} INC", f"{a} {typo(b)} {trade[:6].strip()}"])
+    groups += [[f"{g[0].rsplit(t, 1)[0]}{u} CO"] for g in groups[:20] for t in trades if g[0].endswith(t) for u in trades if u != t]  # sister firms
+    for _ in range(40):
+        surname, name = make(4), random.choice(given)
+        groups.append([f"{surname}, {name} K", f"{name} {surname}", f"{typo(surname)}, {name}"])
+    keys = [k for g in groups for k in g]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    lexicon = learned_lexicon(df.distinct())
+    assert lexicon.phrases == sorted(trades) and set(given) <= lexicon.given
+    want = {(a, b) for g in groups for a in g for b in g if a < b}
+    got = {tuple(r) for r in variant_pairs(name_groups(df, "key")).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.98 * len(got)
+    core = lambda k: (lambda p: (min(x for x in (p["core"], p["other"]) if x), p["attr"]))(lexicon.parse(k))
+    joined = sum(core(a) != core(b) for a, b in got & want)
+    assert joined > 0.5 * len(want)  # these have different names and come through the segment join
+
+
 def test_spellings_of_nothing(spark):
     assert name_groups(spark.createDataFrame([], "key string"), "key").count() == 0
 
