@@ -46,6 +46,17 @@ class LedgerApi:
     def __init__(self, spark: SparkSession, folder: str, writable: str | None = None):
         self.spark, self.folder, self.writable = spark, folder, writable
 
+    #: Tables without which no read makes sense.
+    NEEDED = ("transactions", "tx_tiered", "tier_entities")
+
+    @classmethod
+    def opened(cls, spark: SparkSession, folder: str, writable: str | None = None) -> "LedgerApi":
+        """The API over a folder that has been found to hold the needed tables."""
+        lost = [n for n in cls.NEEDED if not exists(spark, f"{folder}/{n}.parquet")]
+        if lost:
+            raise FileNotFoundError(f"{folder} has no {', '.join(lost)}")
+        return cls(spark, folder, writable)
+
     def _table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 

@@ -7,6 +7,7 @@ import inspect
 import json
 import threading
 from collections.abc import Callable
+from contextlib import AbstractContextManager, nullcontext
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qsl, urlsplit
 
@@ -44,8 +45,11 @@ def described(api: LedgerApi) -> list[dict]:
     return out
 
 
-def ask(api: LedgerApi, question: str, chat: Callable[[list[dict], list[dict]], dict], rounds: int = ROUNDS) -> dict:
-    """The answer of ``chat(messages, tools)`` with the calls it made; results are cut to 60 rows with a note."""
+def ask(api: LedgerApi, question: str, chat: Callable[[list[dict], list[dict]], dict], rounds: int = ROUNDS, lock: AbstractContextManager | None = None) -> dict:
+    """The answer of ``chat(messages, tools)`` with the calls it made; results are cut to 60 rows with a note.
+
+    ``lock`` is held for each call of a tool, not while the model answers.
+    """
     messages, trail = [{"role": "user", "content": question}], []
     for _ in range(rounds):
         turn = chat(messages, described(api))
@@ -56,7 +60,8 @@ def ask(api: LedgerApi, question: str, chat: Callable[[list[dict], list[dict]],
             name = c["function"]["name"]
             try:
                 arguments = json.loads(c["function"].get("arguments") or "{}")
-                rows = call(api, name, arguments)
+                with lock or nullcontext():
+                    rows = call(api, name, arguments)
                 result = {"rows": rows[:MOST_ROWS], "n_rows": len(rows), "cut": len(rows) > MOST_ROWS}
             except (KeyError, ValueError, TypeError) as e:
                 arguments, result = c["function"].get("arguments"), {"error": str(e)}
@@ -66,7 +71,7 @@ def ask(api: LedgerApi, question: str, chat: Callable[[list[dict], list[dict]],
 
 
 def server(api: LedgerApi, port: int = 0, chat: Callable | None = None) -> ThreadingHTTPServer:
-    """A local server: GET /api/<tool>?..., POST /api/ask; 400 for bad arguments, 404 for unknown paths."""
+    """A local server: GET /health and /api/<tool>?..., POST /api/ask; 400 for bad arguments, 404 for unknown paths, 502 where the model fails."""
     lock = threading.Lock()
 
     class Handler(BaseHTTPRequestHandler):
@@ -80,9 +85,12 @@ def server(api: LedgerApi, port: int = 0, chat: Callable | None = None) -> Threa
 
         def do_GET(self) -> None:
             url = urlsplit(self.path)
+            if url.path == "/health":
+                return self._send(200, {"ok": True, "tools": sorted(tools(api))})
             try:
                 with lock:
-                    self._send(200, {"rows": call(api, url.path.removeprefix("/api/"), dict(parse_qsl(url.query)))})
+                    rows = call(api, url.path.removeprefix("/api/"), dict(parse_qsl(url.query)))
+                self._send(200, {"rows": rows})
             except KeyError:
                 self._send(404, {"error": "unknown path"})
             except (ValueError, TypeError) as e:
@@ -98,8 +106,11 @@ def server(api: LedgerApi, port: int = 0, chat: Callable | None = None) -> Threa
                 question = json.loads(self.rfile.read(size))["question"]
             except (ValueError, KeyError, TypeError):
                 return self._send(400, {"error": "a question is needed"})
-            with lock:
-                self._send(200, ask(api, question, chat))
+            try:
+                answer = ask(api, question, chat, lock=lock)
+            except (OSError, TimeoutError, RuntimeError) as e:
+                return self._send(502, {"error": f"the model failed: {e}"})
+            self._send(200, answer)
 
         def log_message(self, *args) -> None:
             return

@@ -147,6 +147,8 @@ _add(
 
 # Fixed value: the state's name, which people type before an agency's.
 PLACE = "CORVANE"
+_TYPED_DROPPED = ", ".join(f"'{w}'" for w in [*A.TYPED_BOILERPLATE, PLACE])
+_TYPED_WORDS = "list_distinct(list_filter(string_split({c}, ' '), lambda w: length(w) > 1 AND w NOT IN (" + _TYPED_DROPPED + ") AND NOT regexp_full_match(w, '(FY)?\\d+')))"
 
 
 def _variance(s: SparkSession, d: str) -> DataFrame:
@@ -154,8 +156,7 @@ def _variance(s: SparkSession, d: str) -> DataFrame:
 
     Typed names are resolved to the agencies that spent in the last two years
     and summed per agency.  Names that mean none of them stay under their own
-    form, without spending and with the status unmatched.  The SQL joins equal
-    forms only.
+    form, without spending and with the status unmatched.
     """
     years = expenditure(s, d).where("fiscal_year in (2024, 2025) and agency is not null").withColumn("agency_form", X.agency_form(F.col("agency"))).groupBy("agency_form").agg(F.sum(F.when(F.col("fiscal_year") == 2025, F.col("amount"))).alias("_s"))
     audits = table(s, d, "ag_reports").where("agency_checkbook is not null").withColumn("agency_form", X.agency_form(F.col("agency_checkbook"))).groupBy("agency_form").agg(F.count(F.lit(1)).alias("n_reports"))
@@ -173,11 +174,19 @@ def _variance(s: SparkSession, d: str) -> DataFrame:
 _add(
     "budget_actual_audit",
     _variance,
-    f"""WITH {CLEAN_SQL}, b AS ({_BUDGETS}), sp AS (SELECT {_FORM_SQL.format(c='agency')} AS agency_form, round(CAST(sum(amount) AS DOUBLE), 2) AS actual FROM clean WHERE fiscal_year = 2025 AND agency IS NOT NULL GROUP BY 1),
+    f"""WITH {CLEAN_SQL}, b AS ({_BUDGETS}), sp AS (SELECT {_FORM_SQL.format(c='agency')} AS listed, CAST(sum(amount) FILTER (WHERE fiscal_year = 2025) AS DOUBLE) AS s FROM clean WHERE fiscal_year IN (2024, 2025) AND agency IS NOT NULL GROUP BY 1),
     au AS (SELECT {_FORM_SQL.format(c='agency_checkbook')} AS agency_form, count(*) AS n FROM ag_reports WHERE agency_checkbook IS NOT NULL GROUP BY 1),
-    j AS (SELECT agency_form, budget, actual, round(100 * (actual - budget) / nullif(budget, 0), 4) AS variance_pct, coalesce(n, 0) AS n_reports FROM b JOIN sp USING (agency_form) LEFT JOIN au USING (agency_form))
-    SELECT agency_form, budget, actual, variance_pct, CASE WHEN variance_pct > 20 THEN 'over' WHEN variance_pct < -20 THEN 'under' WHEN variance_pct IS NULL THEN 'no budget' ELSE 'near' END AS status, n_reports,
-      CAST(least(10 * n_reports, 40) + CASE WHEN variance_pct > 20 THEN least(floor(variance_pct), 30) ELSE 0 END AS BIGINT) AS risk FROM j""",
+    typed AS (SELECT agency_form AS a, bare, {_TYPED_WORDS.format(c='bare')} AS aw FROM (SELECT agency_form, regexp_replace(agency_form, '^((THE|STATE OF|STATE|{PLACE}) )+', '') AS bare FROM b)),
+    known AS (SELECT listed AS b, {_TYPED_WORDS.format(c='listed')} AS bw FROM sp WHERE listed <> ''),
+    pairs AS (SELECT a, b, bare, len(aw) AS na, len(bw) AS nb, len(list_intersect(aw, bw)) AS n FROM typed, known),
+    ranked AS (SELECT *, CASE WHEN a = b THEN 0 WHEN bare = b THEN 2 WHEN contains(' ' || b || ' ', ' ' || bare || ' ') OR contains(' ' || bare || ' ', ' ' || b || ' ') THEN 3 WHEN n = na AND n = nb THEN 4 WHEN n >= 2 THEN 5 END AS k FROM pairs WHERE n > 0 OR a = b OR bare = b),
+    first_ AS (SELECT *, rank() OVER (PARTITION BY a ORDER BY k, n DESC, n::DOUBLE / nullif(na + nb - n, 0) DESC NULLS LAST) AS place FROM ranked WHERE k IS NOT NULL),
+    means AS (SELECT a AS agency_form, min(b) AS listed FROM first_ WHERE place = 1 GROUP BY 1 HAVING count(*) = 1),
+    g AS (SELECT coalesce(listed, agency_form) AS agency_form, round(sum(budget), 2) AS budget, bool_or(listed IS NOT NULL) AS matched FROM b LEFT JOIN means USING (agency_form) GROUP BY 1),
+    j AS (SELECT g.agency_form, budget, matched, CASE WHEN matched THEN round(s, 2) END AS actual, coalesce(n, 0) AS n_reports FROM g LEFT JOIN sp ON sp.listed = g.agency_form LEFT JOIN au ON au.agency_form = g.agency_form),
+    v AS (SELECT *, round(100 * (actual - budget) / nullif(budget, 0), 4) AS variance_pct FROM j)
+    SELECT agency_form, budget, actual, variance_pct, CASE WHEN NOT matched THEN 'unmatched' WHEN actual IS NULL THEN 'no spend' WHEN variance_pct > 20 THEN 'over' WHEN variance_pct < -20 THEN 'under' WHEN variance_pct IS NULL THEN 'no budget' ELSE 'near' END AS status, n_reports,
+      CAST(least(10 * n_reports, 40) + CASE WHEN variance_pct > 20 THEN least(floor(variance_pct), 30) ELSE 0 END AS BIGINT) AS risk FROM v""",
 )
 
 
@@ -192,18 +201,21 @@ _add("repeats_within_a_week", _near_repeats, f"WITH {CLEAN_SQL} SELECT fiscal_ye
 
 
 def _compliance(s: SparkSession, d: str) -> DataFrame:
-    """Ledger payees that are on the list of reviewed entities by name key, or hold a listed name as whole words, with what they were paid.
-
-    The SQL matches name keys only.
-    """
+    """Ledger payees that are on the list of reviewed entities by name key, or hold a listed name as whole words, with what they were paid."""
     listed = table(s, d, "vendor_verdicts").select(X.entity_key(F.col("entity_key")).alias("entity_key")).where("entity_key is not null").distinct()
     paid = expenditure(s, d).withColumn("entity_key", X.entity_key(F.col("payee"))).groupBy("entity_key").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("_s"))
     found = listed.unionByName(A.holding_listed(paid, "entity_key", listed, "entity_key")).distinct()
     return paid.join(found, "entity_key").select("entity_key", "n", R.money("_s", "usd"))
 
 
-_add("listed_payees", _compliance, rf"WITH {CLEAN_SQL}, l AS (SELECT DISTINCT nullif(upper(trim(regexp_replace(entity_key, '\s+', ' ', 'g'))), '') AS entity_key FROM vendor_verdicts), p AS (SELECT nullif(upper(trim(regexp_replace(payee, '\s+', ' ', 'g'))), '') AS entity_key, count(*) AS n, {_usd('sum(amount)', 'usd')} FROM clean GROUP BY 1) SELECT p.* FROM p JOIN l USING (entity_key)")
-
+_WORD_FORM = "trim(regexp_replace(upper({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_add(
+    "listed_payees",
+    _compliance,
+    rf"""WITH {CLEAN_SQL}, l AS (SELECT DISTINCT nullif(upper(trim(regexp_replace(entity_key, '\s+', ' ', 'g'))), '') AS entity_key FROM vendor_verdicts), forms AS (SELECT DISTINCT {_WORD_FORM.format(c='entity_key')} AS form FROM l WHERE entity_key IS NOT NULL),
+    p AS (SELECT nullif(upper(trim(regexp_replace(payee, '\s+', ' ', 'g'))), '') AS entity_key, count(*) AS n, {_usd('sum(amount)', 'usd')} FROM clean GROUP BY 1)
+    SELECT p.* FROM p WHERE entity_key IN (SELECT entity_key FROM l WHERE entity_key IS NOT NULL) OR EXISTS (SELECT 1 FROM forms WHERE form <> '' AND contains(' ' || {_WORD_FORM.format(c='p.entity_key')} || ' ', ' ' || form || ' '))""",
+)
 
 
 def _audit_flags(s: SparkSession, d: str) -> DataFrame:

@@ -222,9 +222,6 @@ def _by_parent(s: SparkSession, d: str) -> DataFrame:
     return _joined(R.entity_rollup(rows, "parent_key"), "agencies", "top_markers").select("parent_key", "hv_txn", "hv_exposure", "n_flagged", "top_tier", "agencies", "top_markers")
 
 
-_add("entity_rollup_by_parent", _by_parent)
-
-
 def _vendor_nodes(s: SparkSession, d: str) -> DataFrame:
     """One JSON document per flagged entity: rollup, primary agency and its riskiest payments."""
     x = scored(s, d)
@@ -235,25 +232,64 @@ def _vendor_nodes(s: SparkSession, d: str) -> DataFrame:
 _add("vendor_nodes", _vendor_nodes)
 
 
-def _tree(s: SparkSession, d: str) -> DataFrame:
-    """Cabinet, agency and entity with counts, tiers, ids, years, verdict and top four markers, and the entity's top fifteen payments at the agency.
+TREE_KEYS = ["cabinet", "agency", "entity_key"]
+
 
-    The SQL gives no more than counts and markers.
-    """
-    x = scored(s, d).where("entity_key is not null and agency is not null and marker_sum > 0").withColumn("cabinet", F.coalesce("cabinet_name", F.lit("(none)")))
-    keys = ["cabinet", "agency", "entity_key"]
-    sums = x.groupBy(*keys).agg(
+def _tree_rows(s: SparkSession, d: str) -> DataFrame:
+    return scored(s, d).where("entity_key is not null and agency is not null and marker_sum > 0").withColumn("cabinet", F.coalesce("cabinet_name", F.lit("(none)")))
+
+
+def tree(s: SparkSession, d: str) -> DataFrame:
+    """Cabinet, agency and entity with counts, tiers, ids, years, verdict and top four markers, and the entity's top fifteen payments there as an array of structs."""
+    x = _tree_rows(s, d)
+    sums = x.groupBy(*TREE_KEYS).agg(
         F.mode("payee", deterministic=True).alias("entity_name"), F.countDistinct("vendor_id_code").alias("n_vendor_ids"), F.count(F.lit(1)).alias("n"), F.sum("amount").alias("_s"), *[F.count(F.when(F.col("tier") == t, 1)).alias(f"n_tier{t}") for t in (1, 2)],
         F.min("tier").alias("top_tier"), F.max("risk_score").alias("max_risk_score"), F.min("fiscal_year").alias("first_year"), F.max("fiscal_year").alias("last_year"),
     )
     context = table(s, d, "vendor_verdicts").groupBy(X.entity_key(F.col("entity_key")).alias("entity_key")).agg(F.max("public_context").alias("context"))
     told = verdicts(s, d).join(context, "entity_key")
-    tree = sums.withColumn("usd", R.money("_s", "usd")).drop("_s").join(R.top_markers(x, keys, "fired_markers", 4), keys, "left")
-    return _joined(tree.join(R.transaction_lists(x, keys[1:], 15), keys[1:], "left").join(told, "entity_key", "left"), "top_markers")
+    out = sums.withColumn("usd", R.money("_s", "usd")).drop("_s").join(R.top_markers(x, TREE_KEYS, "fired_markers", 4), TREE_KEYS, "left")
+    return out.join(R.transaction_lists(x, TREE_KEYS, 15), TREE_KEYS, "left").join(told, "entity_key", "left")
+
+
+def _tree(s: SparkSession, d: str) -> DataFrame:
+    """The tree with markers and the ids of the listed payments as text; ``entity_tree_payments`` has the payments."""
+    return _joined(tree(s, d).withColumn("transactions", F.transform("transactions", lambda t: t.txn)), "top_markers", "transactions")
+
+
+def _listed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per listed payment of ``transactions``."""
+    rows = df.select(*keys, F.explode("transactions").alias("t")).select(*keys, "t.rn", "t.fy", "t.date", F.col("t.usd").cast("double").alias("usd"), "t.txn", "t.tier", "t.category", "t.score", F.col("t.markers").alias("markers"))
+    return _joined(rows, "markers")
+
+
+def _listed_sql(keys: str, where: str, k: int) -> str:
+    return (
+        f"SELECT {keys}, rn, fiscal_year AS fy, posting_date AS date, CAST(amount AS DOUBLE) AS usd, transaction_id AS txn, tier, category1 AS category, risk_score AS score, array_to_string(fired_markers, '|') AS markers"
+        f" FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY risk_score DESC NULLS LAST, amount DESC NULLS LAST, transaction_id, record_number) AS rn FROM tx WHERE {where}) WHERE rn <= {k}"
+    )
 
 
+_TREE_TX = TX.replace("FROM (SELECT DISTINCT * FROM tx_tiered)", ", coalesce(cabinet_name, '(none)') AS cabinet FROM (SELECT DISTINCT * FROM tx_tiered)")
+_TREE_WHERE = "entity_key IS NOT NULL AND agency IS NOT NULL AND marker_sum > 0"
 _add(
     "entity_tree",
     _tree,
-    f"WITH {TX.replace('FROM (SELECT DISTINCT * FROM tx_tiered)', ', coalesce(cabinet_name, ' + chr(39) + '(none)' + chr(39) + ') AS cabinet FROM (SELECT DISTINCT * FROM tx_tiered)')}, {_top_sql('cabinet, agency, entity_key', 4, 'entity_key IS NOT NULL AND agency IS NOT NULL AND marker_sum > 0')} SELECT cabinet, agency, entity_key, n, usd, top_markers FROM (SELECT cabinet, agency, entity_key, count(*) AS n, {_usd('sum(amount)', 'usd')} FROM tx WHERE entity_key IS NOT NULL AND agency IS NOT NULL AND marker_sum > 0 GROUP BY ALL) LEFT JOIN tm USING (cabinet, agency, entity_key)",
+    f"""WITH {_TREE_TX}, {_top_sql('cabinet, agency, entity_key', 4, _TREE_WHERE)}, {_VERDICT},
+    c AS (SELECT {_KEY.format(c='entity_key')} AS entity_key, max(public_context) AS context FROM vendor_verdicts GROUP BY 1), listed AS ({_listed_sql('cabinet, agency, entity_key', _TREE_WHERE, 15)}),
+    ids AS (SELECT cabinet, agency, entity_key, string_agg(txn, '|' ORDER BY rn) AS transactions FROM listed GROUP BY ALL)
+    SELECT g.*, tm.top_markers, ids.transactions, v.verdict, v.interest, c.context FROM (SELECT cabinet, agency, entity_key, mode() WITHIN GROUP (ORDER BY payee) AS entity_name, count(DISTINCT vendor_id_code) AS n_vendor_ids, count(*) AS n, count(*) FILTER (WHERE tier = 1) AS n_tier1, count(*) FILTER (WHERE tier = 2) AS n_tier2,
+      min(tier) AS top_tier, max(risk_score) AS max_risk_score, min(fiscal_year) AS first_year, max(fiscal_year) AS last_year, {_usd('sum(amount)', 'usd')} FROM tx WHERE {_TREE_WHERE} GROUP BY ALL) g
+    LEFT JOIN tm USING (cabinet, agency, entity_key) LEFT JOIN ids USING (cabinet, agency, entity_key) LEFT JOIN v ON v.entity_key = g.entity_key LEFT JOIN c ON c.entity_key = g.entity_key""",
+)
+_add("entity_tree_payments", lambda s, d: _listed(R.transaction_lists(_tree_rows(s, d), TREE_KEYS, 15), TREE_KEYS), f"WITH {_TREE_TX} {_listed_sql('cabinet, agency, entity_key', _TREE_WHERE, 15)}")
+_add("vendor_node_payments", lambda s, d: _listed(R.transaction_lists(scored(s, d), "entity_key", 30), ["entity_key"]), f"WITH {TX} {_listed_sql('entity_key', 'entity_key IS NOT NULL', 30)}")
+_PARENTS_SQL = SQL["resolve_entities"].replace("WITH RECURSIVE ", "", 1).rsplit("SELECT entity_key, parent_key, parent_name", 1)
+_add(
+    "entity_rollup_by_parent",
+    _by_parent,
+    f"""WITH RECURSIVE {_PARENTS_SQL[0].rstrip()}, px AS (SELECT tx.*, parent_key FROM tx JOIN (SELECT entity_key, parent_key FROM ranked JOIN parents USING (root)) USING (entity_key)),
+    {_top_sql('parent_key', 5).replace('FROM tx WHERE', 'FROM px WHERE')}
+    SELECT e.*, tm.top_markers FROM (SELECT parent_key, count(*) AS hv_txn, {_usd('sum(amount)', 'hv_exposure')}, count(*) FILTER (WHERE marker_sum > 0) AS n_flagged, min(tier) AS top_tier, coalesce(string_agg(DISTINCT agency, '|' ORDER BY agency), '') AS agencies
+      FROM px GROUP BY 1 HAVING count(*) FILTER (WHERE marker_sum > 0) > 0) e LEFT JOIN tm USING (parent_key)""",
 )

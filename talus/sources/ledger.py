@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +79,42 @@ def read_json_document(spark: SparkSession, path: str, schema: str | T.StructTyp
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def read_feed(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """CSV feeds with a header, of a given schema by name; values that don't fit are null and files without a column have nulls in it."""
+    wanted = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    names = {c.strip().lower(): c for c in raw.columns}
+    return raw.select(*[(F.col(f"`{names[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted])
+
+
+def read_with_long_header(spark: SparkSession, path: str, lines: int = 3) -> DataFrame:
+    """A CSV file whose header takes several lines, as strings: a column's name is what its header cells say, joined by underscores.
+
+    The header is read from the first line's worth of the file alone; its lines
+    are recognised in the data by their text, so the file is still split among tasks.
+    """
+    head = [r.value for r in spark.read.text(path).limit(lines).collect()]  # a few lines
+    cells = [next(csv.reader([line])) if line else [] for line in head]
+    width = max((len(c) for c in cells), default=0)
+    names = ["_".join(c[i].strip().lower().replace(" ", "_") for c in cells if i < len(c) and c[i].strip()) or f"column{i:02d}" for i in range(width)]
+    if len(set(names)) < len(names):
+        names = [f"{n}_{i:02d}" if names.count(n) > 1 else n for i, n in enumerate(names)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    body = spark.read.text(path).where(~F.col("value").isin(head)).select("value")
+    return body.select(F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names))).alias("r")).select("r.*") if names else spark.createDataFrame([], schema)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(report, page_no, text) of JSON documents that hold the text of a report's pages: {"report": ..., "pages": [{"page_no": ..., "text": ...}]}, one a file or a line."""
+    schema = "report string, pages array<struct<page_no: int, text: string>>"
+    return read_json_document(spark, path, schema).select("report", F.explode("pages").alias("p")).select("report", "p.page_no", "p.text")
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """A table of a database; give partitionColumn, lowerBound, upperBound and numPartitions to read it in several tasks."""
+    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
 #: Short names of the ledger's columns in the operators.
 SHORT = {
     "agency": "organization_level_1_name", "org2": "organization_level_2_name", "cabinet_name": "cabinet_name", "fund": "fund_1_name", "category1": "category_level_1_name", "category2": "category_level_2_name",

@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
 
 
+def save_table(df: DataFrame, name: str, buckets: int = 0, by: Sequence[str] = ()) -> None:
+    """Create or replace a table of the catalog, bucketed and sorted by ``by`` where later joins on it should not shuffle."""
+    writer = df.write.mode("overwrite").option("compression", "zstd")
+    (writer.bucketBy(buckets, *by).sortBy(*by) if buckets else writer).saveAsTable(name)
+
+
 def flat_arrays(df: DataFrame, separator: str = "|") -> DataFrame:
     """Arrays of strings joined to one string, since CSV holds none."""
     arrays = {f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)}
@@ -118,14 +124,24 @@ def load_together(spark: SparkSession, tables: dict[str, DataFrame], folder: str
 
 
 def push_jdbc(df: DataFrame, url: str, name: str, **options: str) -> int:
-    """Replace a table of a database and check that it holds as many rows as were sent."""
-    df.write.format("jdbc").options(url=url, dbtable=name, **options).mode("overwrite").save()
-    sent, there = df.count(), df.sparkSession.read.format("jdbc").options(url=url, dbtable=name, **options).load().count()
-    if sent != there:
-        raise ValueError(f"{name}: {sent} rows sent, {there} there")
+    """Replace a table of a database and check that it holds as many rows as were sent, counted while they are sent."""
+    sent = Observation()
+    df.observe(sent, F.count(F.lit(1)).alias("n")).write.format("jdbc").options(url=url, dbtable=name, **options).mode("overwrite").save()
+    there = df.sparkSession.read.format("jdbc").options(url=url, dbtable=name, **options).load().count()
+    if sent.get["n"] != there:
+        raise ValueError(f"{name}: {sent.get['n']} rows sent, {there} there")
     return there
 
 
+def push_together(spark: SparkSession, folder: str, names: Sequence[str], url: str, optional: Sequence[str] = (), **options: str) -> dict[str, int]:
+    """Push the tables of a folder to a database, by name the rows that arrived; an ``optional`` table that isn't there is passed over, another is an error."""
+    there = {n: exists(spark, f"{folder}/{n}.parquet") for n in [*names, *optional]}
+    lost = [n for n in names if not there[n]]
+    if lost:
+        raise FileNotFoundError(f"{folder} has no {', '.join(lost)}")
+    return {n: push_jdbc(spark.read.parquet(f"{folder}/{n}.parquet"), url, n, **options) for n, found in there.items() if found}
+
+
 def plain(value):
     """A value as JSON holds it: decimals as numbers, dates as ISO text."""
     from datetime import date, datetime
@@ -143,8 +159,11 @@ def plain(value):
 
 
 def to_records(df: DataFrame, most: int = 10_000) -> list[dict]:
-    """Result rows of a report as plain dictionaries, at most ``most``."""
-    return [plain(r.asDict(True)) for r in df.take(most)]
+    """Result rows of a report as plain dictionaries; a result of more than ``most`` is refused, so none is cut unseen."""
+    rows = df.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"the result has more than {most} rows; narrow it or write it to a table")
+    return [plain(r.asDict(True)) for r in rows]
 
 
 def to_json_text(df: DataFrame, most: int = 10_000) -> str:
