@@ -87,6 +87,26 @@ def _solve_core(edges: DataFrame, keep: Staged) -> DataFrame:
     return edges.select(F.col("w").alias("v"), F.col("u").alias("label"))
 
 
+def _roots(layers: list[DataFrame], keep: Staged) -> DataFrame:
+    """(v, root): the vertices removed in all rounds, each with the vertex that its parents lead to, which was removed last or never.
+
+    Pointer doubling over all layers at once: as many passes as the logarithm of their number, over the removed vertices alone.
+    """
+    forest = layers[0]
+    for layer in layers[1:]:
+        forest = forest.unionByName(layer)
+    forest = keep(forest.select("v", F.col("parent").alias("root")))
+    total = forest.count()
+    while True:
+        above = forest.select(F.col("v").alias("root"), F.col("root").alias("above"))
+        states = forest.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(above, "root", "left").select("root", "above", "n")
+        moved = keep(split_join(forest, states, "root", "n", total).select("v", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        keep.drop(forest)
+        forest = moved
+        if moved.where("moved").isEmpty():
+            return forest.select("v", "root")
+
+
 def connected_groups(pairs: DataFrame, left: str, right: str, extra_keys: DataFrame | None = None) -> DataFrame:
     """(entity_key, group_key): one row per distinct key, with the smallest key of its group (byte order).
 
@@ -98,7 +118,7 @@ def connected_groups(pairs: DataFrame, left: str, right: str, extra_keys: DataFr
     Rounds strip degree-one vertices and compress degree-two chains by list
     ranking while that removes at least a tenth of the vertices; the reduced
     core is solved by star contraction, and labels are restored to the removed
-    vertices from the last round to the first.  Every step aggregates or joins
+    vertices, of all rounds at once, by pointer doubling.  Every step aggregates or joins
     on keys; a vertex or group with many rows is folded on the map side or
     joined with its state broadcast.
     """
@@ -111,7 +131,7 @@ def connected_groups(pairs: DataFrame, left: str, right: str, extra_keys: DataFr
     keys = keep(keys.where(F.col("v").isNotNull()).distinct())
     edges = keep(pairs.where(l.isNotNull() & r.isNotNull() & (l != r)).select(F.least(l, r).alias("u"), F.greatest(l, r).alias("w")).distinct())
     removed: list[tuple[DataFrame, int]] = []
-    vertices = keys.count()
+    vertices = _ends(edges).count()  # keys without a match count for nothing here
     while True:
         before = edges
         edges, gone, n = _strip_leaves(edges, keep)
@@ -126,21 +146,21 @@ def connected_groups(pairs: DataFrame, left: str, right: str, extra_keys: DataFr
         if 10 * (n + m) <= vertices or edges.isEmpty():
             break
     labels = keep(_solve_core(edges, keep)) if not edges.isEmpty() else None
-    for gone, n in reversed(removed):
-        # parents without a label are roots of their own
+    n_labels = vertices
+    if removed:
+        forest, n_removed = _roots([g for g, _ in removed], keep), sum(n for _, n in removed)
+        n_labels += n_removed
         if labels is None:
-            labels = keep(gone.select("v", F.col("parent").alias("label")))
-            continue
-        weights = gone.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
-        state = weights.join(labels.select(F.col("v").alias("parent"), "label"), "parent", "left").select("parent", F.coalesce("label", "parent").alias("label"), "n")
-        new = keep(labels.unionByName(split_join(gone, state, "parent", "n", n).select("v", "label")))
-        keep.drop(labels)
-        labels = new
+            labels = forest.select("v", F.col("root").alias("label"))
+        else:
+            states = forest.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(labels.select(F.col("v").alias("root"), "label"), "root", "left")
+            found = split_join(forest, states.select("root", F.coalesce("label", "root").alias("label"), "n"), "root", "n", n_removed)
+            labels = keep(labels.unionByName(found.select("v", "label")))
     if labels is None:
         return keys.select(F.col("v").alias("entity_key"), F.col("v").alias("group_key"))
     members = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"))
     members = members.select("label", F.least("least", "label").alias("group_key"), "n")
-    found = split_join(labels, members, "label", "n", vertices + sum(n for _, n in removed)).select("v", "label", "group_key")
+    found = split_join(labels, members, "label", "n", n_labels).select("v", "label", "group_key")
     roots = members.select(F.col("label").alias("v"), "group_key")
     named = found.select("v", "group_key").unionByName(roots)
     return keys.join(named, "v", "left").select(F.col("v").alias("entity_key"), F.coalesce("group_key", "v").alias("group_key"))
