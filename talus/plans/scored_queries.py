@@ -122,8 +122,9 @@ def _detail(s: SparkSession, d: str) -> DataFrame:
     """Payments of tiers 1 to 3 with the ledger's description, by transaction, amount, date and agency."""
     from talus.sources.ledger import ledger
 
-    text = ledger(s, d).groupBy(F.col("txn").alias("transaction_id"), "amount", "posting_date", "agency").agg(F.min("description").alias("description"), F.min("invoice").alias("invoice"))
     rows = scored(s, d).where("tier <= 3").select("record_number", "transaction_id", "amount", "posting_date", "agency", "tier")
+    wanted = ledger(s, d).join(rows.select(F.col("transaction_id").alias("txn")).distinct(), "txn", "left_semi")  # few of the ledger's rows
+    text = wanted.groupBy(F.col("txn").alias("transaction_id"), "amount", "posting_date", "agency").agg(F.min("description").alias("description"), F.min("invoice").alias("invoice"))
     return rows.join(text, ["transaction_id", "amount", "posting_date", "agency"], "left").select("record_number", "transaction_id", "tier", "description", "invoice")
 
 

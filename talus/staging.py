@@ -32,18 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Staged:
-    """The tables one operator call has written; ``drop`` removes those no longer read."""
+    """The tables one operator call has written; ``drop`` removes those no longer read.
+
+    What a lazy result still reads stays until the application ends; then the
+    whole folder of the call is deleted.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        path, fs = self._at(self.base)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._staged_path = path
         return out
 
@@ -51,5 +60,5 @@ class Staged:
         for table in tables:
             path = getattr(table, "_staged_path", None)
             if path:
-                jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+                at, fs = self._at(path)
+                fs.delete(at, True)
