@@ -254,6 +254,10 @@ def tree(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tree(s: SparkSession, d: str) -> DataFrame:
+    return _joined(tree(s, d), "top_markers")
+
+
+def _tree_summary(s: SparkSession, d: str) -> DataFrame:
     """The tree with markers and the ids of the listed payments as text; ``entity_tree_payments`` has the payments."""
     return _joined(tree(s, d).withColumn("transactions", F.transform("transactions", lambda t: t.txn)), "top_markers", "transactions")
 
@@ -273,9 +277,11 @@ def _listed_sql(keys: str, where: str, k: int) -> str:
 
 _TREE_TX = TX.replace("FROM (SELECT DISTINCT * FROM tx_tiered)", ", coalesce(cabinet_name, '(none)') AS cabinet FROM (SELECT DISTINCT * FROM tx_tiered)")
 _TREE_WHERE = "entity_key IS NOT NULL AND agency IS NOT NULL AND marker_sum > 0"
+# arrays of structs: its SQL is that of the two queries that follow, which give all of it in flat columns
+_add("entity_tree", _tree)
 _add(
-    "entity_tree",
-    _tree,
+    "entity_tree_summary",
+    _tree_summary,
     f"""WITH {_TREE_TX}, {_top_sql('cabinet, agency, entity_key', 4, _TREE_WHERE)}, {_VERDICT},
     c AS (SELECT {_KEY.format(c='entity_key')} AS entity_key, max(public_context) AS context FROM vendor_verdicts GROUP BY 1), listed AS ({_listed_sql('cabinet, agency, entity_key', _TREE_WHERE, 15)}),
     ids AS (SELECT cabinet, agency, entity_key, string_agg(txn, '|' ORDER BY rn) AS transactions FROM listed GROUP BY ALL)
