@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -70,9 +71,9 @@ def heavy_keys(results: DataFrame, key: str, rows: str, share: float) -> DataFra
     """The per-key ``results`` whose ``rows`` are at least ``share`` of all keys' rows.
 
     ``results`` has one row per key, the null key included, which counts among
-    all rows but is no heavy key.  The total is rolled up from the per-key
-    counts, one row that is broadcast.  Without keys there are no rows.
+    all rows but is no heavy key; it is read twice, so give a written table.
+    The total is rolled up from the per-key counts, one number.  Without keys
+    there are no rows.
     """
-    total = results.agg(F.sum(rows).cast("decimal(20,0)").alias("_total"))
-    found = results.where(F.col(key).isNotNull()).crossJoin(F.broadcast(total))
-    return found.where(F.col(rows) >= F.col("_total") * F.lit(Decimal(str(share)))).drop("_total")
+    total = results.agg(F.sum(rows).cast("decimal(38,0)")).first()[0] or Decimal(0)
+    return results.where(F.col(key).isNotNull() & (F.col(rows) >= F.lit(math.ceil(total * Decimal(str(share))))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talus.operators.diff import table_diff
 from talus.operators.orphans import cited_reports, orphan_references
 from talus.operators.skew import eager_join_aggregate, heavy_keys
+from talus.staging import Staged
 from talus.tables import is_blank, name_key, table
 
 HEAVY_SHARE = 0.02
@@ -36,7 +37,8 @@ def p2_vendor_results(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The keys that hold most rows, out of the results of all keys."""
-    heavy = [heavy_keys(_per_key(spark, folder, f), "key_value", "ledger_rows", HEAVY_SHARE).select(F.lit(f).alias("field_name"), "key_value") for f in PER_KEY]
+    keep = Staged(spark, "p2")
+    heavy = [heavy_keys(keep(_per_key(spark, folder, f)), "key_value", "ledger_rows", HEAVY_SHARE).select(F.lit(f).alias("field_name"), "key_value") for f in PER_KEY]
     return heavy[0].unionByName(heavy[1])
 
 
