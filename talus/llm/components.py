@@ -107,6 +107,16 @@ def _roots(layers: list[DataFrame], keep: Staged) -> DataFrame:
             return forest.select("v", "root")
 
 
+def _numbered(edges: DataFrame, keys: DataFrame, keep: Staged) -> DataFrame:
+    """Edges between keys as edges between their numbers, the smaller first; a key with many edges is joined with its number broadcast."""
+    edges = keep(edges)
+    degrees = edges.select(F.explode(F.array("u", "w")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    numbers, total = keep(degrees.join(keys, "v").select("v", "id", "n")), edges.count()
+    for end in ("u", "w"):
+        edges = split_join(edges, numbers.withColumnRenamed("v", end), end, "n", total).drop(end).withColumnRenamed("id", end)
+    return edges.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w"))
+
+
 def connected_groups(pairs: DataFrame, left: str, right: str, extra_keys: DataFrame | None = None) -> DataFrame:
     """(entity_key, group_key): one row per distinct key, with the smallest key of its group (byte order).
 
@@ -128,8 +138,9 @@ def connected_groups(pairs: DataFrame, left: str, right: str, extra_keys: DataFr
     keys = pairs.select(F.explode(F.array(l, r)).alias("v"))
     if extra_keys is not None:
         keys = keys.unionByName(extra_keys.select(F.col(extra_keys.columns[0]).cast("string").alias("v")))
-    keys = keep(keys.where(F.col("v").isNotNull()).distinct())
-    edges = keep(pairs.where(l.isNotNull() & r.isNotNull() & (l != r)).select(F.least(l, r).alias("u"), F.greatest(l, r).alias("w")).distinct())
+    # numbers in place of the keys from here on: they are written once, so they stay what they are
+    keys = keep(keys.where(F.col("v").isNotNull()).distinct().select("v", F.monotonically_increasing_id().alias("id")))
+    edges = keep(_numbered(pairs.where(l.isNotNull() & r.isNotNull() & (l != r)).select(F.least(l, r).alias("u"), F.greatest(l, r).alias("w")).distinct(), keys, keep))
     removed: list[tuple[DataFrame, int]] = []
     vertices = _ends(edges).count()  # keys without a match count for nothing here
     while True:
@@ -146,10 +157,8 @@ def connected_groups(pairs: DataFrame, left: str, right: str, extra_keys: DataFr
         if 10 * (n + m) <= vertices or edges.isEmpty():
             break
     labels = keep(_solve_core(edges, keep)) if not edges.isEmpty() else None
-    n_labels = vertices
     if removed:
         forest, n_removed = _roots([g for g, _ in removed], keep), sum(n for _, n in removed)
-        n_labels += n_removed
         if labels is None:
             labels = forest.select("v", F.col("root").alias("label"))
         else:
@@ -158,9 +167,7 @@ def connected_groups(pairs: DataFrame, left: str, right: str, extra_keys: DataFr
             labels = keep(labels.unionByName(found.select("v", "label")))
     if labels is None:
         return keys.select(F.col("v").alias("entity_key"), F.col("v").alias("group_key"))
-    members = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"))
-    members = members.select("label", F.least("least", "label").alias("group_key"), "n")
-    found = split_join(labels, members, "label", "n", n_labels).select("v", "label", "group_key")
-    roots = members.select(F.col("label").alias("v"), "group_key")
-    named = found.select("v", "group_key").unionByName(roots)
-    return keys.join(named, "v", "left").select(F.col("v").alias("entity_key"), F.coalesce("group_key", "v").alias("group_key"))
+    every = labels.select(F.col("v").alias("id"), "label").unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
+    members = keep(keys.join(every, "id", "left").select("v", F.coalesce("label", "id").alias("label")))
+    least = members.groupBy("label").agg(F.min("v").alias("group_key"), F.count(F.lit(1)).alias("n"))
+    return split_join(members, least, "label", "n", members.count()).select(F.col("v").alias("entity_key"), "group_key")
